@@ -201,7 +201,10 @@ def with_timestamp(
         F.coalesce(parsed["nanos"], epoch["nanos"]).alias("nanos"),
         reason.alias("reason"),
     )
-    return df.withColumn(name, result).drop(f"_text_{name}", f"_parsed_{name}", f"_epoch_{name}")
+    # Exploding the one result ends the reach of filter pushdown, which would otherwise copy all the steps above
+    # into each filter on the outcome.
+    df = df.select("*", F.explode(F.array(result)).alias(name))
+    return df.drop(f"_text_{name}", f"_parsed_{name}", f"_epoch_{name}")
 
 
 def type_name(kind: Column) -> Column:

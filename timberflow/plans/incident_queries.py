@@ -47,28 +47,36 @@ RULES = [
         group_by=["source", "level"],
         threshold=4,
         window="6h",
-        cooldown="0s",
+        cooldown="7h",
         resolve_after="48h",
     ),
     Rule("switched-off", enabled=False),
 ]
 
+# Without a cooldown every full window fires, so windows overlap and ids repeat: for the detection queries only.
+FLOOD = Rule(
+    "crit-flood", all=[Predicate("level", "eq", "fatal")], group_by=["source"], threshold=2, window="12h", cooldown="0s"
+)
+
 _SQL_RULES = [
     {"id": "error-burst", "test": "level IN ('ERROR', 'FATAL')", "grp": "'source=' || source", "threshold": 5,
      "window": 43200, "cooldown": 86400},
     {"id": "purchase-surge", "test": "starts_with(message, 'purchase')", "grp": "'all'", "threshold": 20,
      "window": 21600, "cooldown": 43200},
     {"id": "signup-run", "test": "starts_with(message, 'signup ') AND (k::DOUBLE < 50 OR source = 'svc-3')",
-     "grp": "'source=' || source || '|level=' || level", "threshold": 4, "window": 21600, "cooldown": 0},
+     "grp": "'source=' || source || '|level=' || level", "threshold": 4, "window": 21600, "cooldown": 25200},
 ]
+_SQL_FLOOD = {"id": "crit-flood", "test": "level = 'FATAL'", "grp": "'source=' || source", "threshold": 2,
+     "window": 43200, "cooldown": 0}
 
 _DET = EVH.replace("WITH ", "WITH RECURSIVE ", 1) + "," + detection_ctes(_SQL_RULES)
+_DET_ALL = EVH.replace("WITH ", "WITH RECURSIVE ", 1) + "," + detection_ctes([*_SQL_RULES, _SQL_FLOOD])
 
 _STORED: dict[tuple[str, str], str] = {}
 
 
-def run_detection(spark: SparkSession, folder: str):
-    return detect(adapter.hourly_events(spark, folder), RULES)
+def run_detection(spark: SparkSession, folder: str, rules=(*RULES, FLOOD)):
+    return detect(adapter.hourly_events(spark, folder), rules)
 
 
 def stored_incidents(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,7 +84,7 @@ def stored_incidents(spark: SparkSession, folder: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _STORED:
         path = scratch_path(spark, "incidents")
-        detected_incidents(run_detection(spark, folder), NOW).write.parquet(path)
+        detected_incidents(run_detection(spark, folder, RULES), NOW).write.parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
 
@@ -84,17 +92,17 @@ def stored_incidents(spark: SparkSession, folder: str) -> DataFrame:
 # --- detection --------------------------------------------------------------------------------------------
 
 
-@query("det_sliding_count", _DET + "SELECT rule_id, grp, id, rn, rn - lo + 1 AS cnt FROM counted")
+@query("det_sliding_count", _DET_ALL + "SELECT rule_id, grp, id, rn, rn - lo + 1 AS cnt FROM counted")
 def det_sliding_count(spark, folder):
     return run_detection(spark, folder).counted.select("rule_id", "grp", "id", "rn", "cnt")
 
 
-@query("det_candidates", _DET + "SELECT rule_id, grp, id, rn, rn - lo + 1 AS cnt FROM cand")
+@query("det_candidates", _DET_ALL + "SELECT rule_id, grp, id, rn, rn - lo + 1 AS cnt FROM cand")
 def det_candidates(spark, folder):
     return run_detection(spark, folder).candidates.select("rule_id", "grp", "id", "rn", "cnt")
 
 
-@query("det_triggers", _DET + "SELECT rule_id, grp, id, rn, ts AS at FROM fired")
+@query("det_triggers", _DET_ALL + "SELECT rule_id, grp, id, rn, ts AS at FROM fired")
 def det_triggers(spark, folder):
     fired = run_detection(spark, folder).fired
     return fired.select("rule_id", "grp", "id", "rn", F.timestamp_micros("us").alias("at"))
@@ -102,14 +110,15 @@ def det_triggers(spark, folder):
 
 _INC = """SELECT id, rule_id, grp AS "group", fingerprint, first_seen, last_seen, n AS count,
       array_to_string(ids, ',') AS event_ids,
-      CASE rule_id WHEN 'error-burst' THEN 'ERROR' WHEN 'purchase-surge' THEN 'WARN' ELSE 'INFO' END AS severity,
+      CASE rule_id WHEN 'error-burst' THEN 'ERROR' WHEN 'crit-flood' THEN 'ERROR' WHEN 'purchase-surge' THEN 'WARN' ELSE 'INFO' END AS severity,
       CASE rule_id WHEN 'purchase-surge' THEN 'Many purchases' ELSE rule_id END AS title,
       CASE rule_id WHEN 'error-burst' THEN 'threshold 5 reached in 12h'
-        WHEN 'purchase-surge' THEN 'threshold 20 reached in 6h' ELSE 'threshold 4 reached in 6h' END AS reason
+        WHEN 'purchase-surge' THEN 'threshold 20 reached in 6h'
+        WHEN 'crit-flood' THEN 'threshold 2 reached in 12h' ELSE 'threshold 4 reached in 6h' END AS reason
       FROM inc"""
 
 
-@query("det_incidents", _DET + _INC)
+@query("det_incidents", _DET_ALL + _INC)
 def det_incidents(spark, folder):
     rows = detected_incidents(run_detection(spark, folder), NOW)
     return rows.select(
@@ -129,13 +138,13 @@ def det_incidents(spark, folder):
 
 @query(
     "det_evaluations",
-    _DET
+    _DET_ALL
     + """SELECT r.rule, CASE WHEN r.rule = 'switched-off' THEN 0 ELSE (SELECT count(*) FROM evh) END AS examined,
       (SELECT count(*) FROM matched m WHERE m.rule_id = r.rule) AS matched,
       (SELECT count(*) FROM fired f WHERE f.rule_id = r.rule) AS triggered,
       (SELECT count(*) FROM cand c WHERE c.rule_id = r.rule) - (SELECT count(*) FROM fired f WHERE f.rule_id = r.rule)
         AS suppressed
-    FROM (VALUES ('error-burst'), ('purchase-surge'), ('signup-run'), ('switched-off')) AS r(rule)""",
+    FROM (VALUES ('error-burst'), ('purchase-surge'), ('signup-run'), ('switched-off'), ('crit-flood')) AS r(rule)""",
 )
 def det_evaluations(spark, folder):
     return evaluations(run_detection(spark, folder))
