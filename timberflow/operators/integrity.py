@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator, Sequence
 from urllib.parse import urlparse
 
@@ -30,7 +31,7 @@ def _stream_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         digests = []
         for path in batch["uri"]:
-            system, place = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path[:6] == "file:/" and path[:7] != "file://" else path)
+            system, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
             digest = hashlib.sha256()
             with system.open_input_stream(place) as stream:
                 while chunk := stream.read(_CHUNK_BYTES):

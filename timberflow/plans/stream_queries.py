@@ -1 +1,138 @@
-"""."""
+"""Streams over the test events, run until all input is read and compared with their batch forms."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from timberflow.operators.predicates import match_rules
+from timberflow.plans import adapter
+from timberflow.plans.catalog import query
+from timberflow.plans.incident_queries import _DET, RULES
+from timberflow.plans.oracle import EV, bucket
+from timberflow.plans.source_queries import NOW, jsonl_source
+from timberflow.session import scratch_path
+from timberflow.streaming.detection import StreamingDetector, start_detection
+from timberflow.streaming.streams import (
+    dedup_stream,
+    event_stream,
+    metrics_stream,
+    session_stream,
+    start_ingest,
+    start_to_table,
+)
+
+# Event times at which the waves of arriving files end.
+WAVES = ("2024-01-11", "2024-01-21", "2025-01-01")
+
+
+def _arrived(spark: SparkSession, folder: str) -> str:
+    path = scratch_path(spark, "arrived")
+    adapter.events(spark, folder).write.parquet(path)
+    return path
+
+
+def _run(stream: DataFrame, path: str) -> DataFrame:
+    start_to_table(stream, path).awaitTermination()
+    return stream.sparkSession.read.parquet(f"{path}/data")
+
+
+@query("st_ingest", EV + "SELECT DISTINCT fingerprint, 'event' AS kind FROM ev WHERE value >= 3")
+def st_ingest(spark, folder):
+    """Log files taken in by several micro-batches; what is kept of a fingerprint depends on arrival."""
+    store = scratch_path(spark, "stream-ingest")
+    start_ingest(spark, jsonl_source(spark, folder), store, NOW, files_per_trigger=12).awaitTermination()
+    rows = spark.read.parquet(f"{store}/events")
+    return rows.select("fingerprint", F.lit("event").alias("kind"))
+
+
+@query("st_ingest_rejected", "SELECT count(*) AS rejected FROM events WHERE value < 3")
+def st_ingest_rejected(spark, folder):
+    store = scratch_path(spark, "stream-ingest")
+    start_ingest(spark, jsonl_source(spark, folder), store, NOW).awaitTermination()
+    return spark.read.parquet(f"{store}/rejected").agg(F.count("*").alias("rejected"))
+
+
+@query("st_dedup", EV + "SELECT DISTINCT fingerprint FROM ev")
+def st_dedup(spark, folder):
+    stream = dedup_stream(event_stream(spark, _arrived(spark, folder)), "60 days")
+    return _run(stream, scratch_path(spark, "stream-dedup")).select("fingerprint")
+
+
+@query(
+    "st_metrics",
+    EV
+    + f""", m AS (SELECT {bucket('ts', 604800)} AS bucket, source, level, count(*) AS count, min(ts) AS first,
+      max(ts) AS last, sum(strlen(message))::BIGINT AS bytes FROM ev GROUP BY 1, 2, 3)
+    SELECT * FROM m WHERE bucket + INTERVAL 7 DAYS <= (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR""",
+)
+def st_metrics(spark, folder):
+    """Weekly buckets the watermark has closed."""
+    stream = metrics_stream(event_stream(spark, _arrived(spark, folder)), 604_800, "1 hour")
+    return _run(stream, scratch_path(spark, "stream-metrics")).drop("unique_fingerprints")
+
+
+def _detector(spark: SparkSession, folder: str) -> StreamingDetector:
+    """Events that arrive in waves; the stream is stopped and started again between them."""
+    source = scratch_path(spark, "arriving")
+    detector = StreamingDetector(RULES, scratch_path(spark, "stream-detect"))
+    events = adapter.hourly_events(spark, folder)
+    since = "2000-01-01"
+    for until in WAVES:
+        at = F.col("timestamp")
+        wave = events.filter((at >= F.lit(since).cast("timestamp")) & (at < F.lit(until).cast("timestamp")))
+        wave.write.mode("append").parquet(source)
+        start_detection(event_stream(spark, source), detector).awaitTermination()
+        since = until
+    return detector
+
+
+@query(
+    "st_detect",
+    _DET
+    + """SELECT id, rule_id, grp AS "group", fingerprint, first_seen, last_seen, n AS count,
+      array_to_string(ids, ',') AS event_ids FROM inc""",
+)
+def st_detect(spark, folder):
+    rows = _detector(spark, folder).detections(spark)
+    ids = F.array_join("event_ids", ",").alias("event_ids")
+    return rows.select("id", "rule_id", "group", "fingerprint", "first_seen", "last_seen", "count", ids)
+
+
+@query(
+    "st_resolve",
+    _DET
+    + """, waves AS (SELECT *, CASE WHEN last_seen < '2024-01-11' THEN 0 WHEN last_seen < '2024-01-21' THEN 1 ELSE 2 END AS wave
+      FROM inc),
+    clocks AS (SELECT 0 AS wave, max(ts) AS now FROM evh WHERE ts < '2024-01-11'
+      UNION ALL SELECT 1, max(ts) FROM evh WHERE ts < '2024-01-21' UNION ALL SELECT 2, max(ts) FROM evh),
+    keys AS (SELECT rule_id, grp, min(wave) AS born, sum(n)::BIGINT AS count FROM waves GROUP BY rule_id, grp),
+    seen AS (SELECT k.rule_id, k.grp, c.wave, c.now, k.count, (SELECT max(last_seen) FROM waves w WHERE w.rule_id = k.rule_id
+        AND w.grp = k.grp AND w.wave <= c.wave) AS last_seen,
+      (SELECT count(*) FROM waves w WHERE w.rule_id = k.rule_id AND w.grp = k.grp AND w.wave = c.wave) AS active
+      FROM keys k JOIN clocks c ON c.wave >= k.born)
+    SELECT rule_id, grp AS "group", count, last_seen, CASE WHEN active = 0 AND date_diff('second', last_seen, now) >=
+      CASE rule_id WHEN 'signup-run' THEN 172800 ELSE 259200 END THEN 'resolved' ELSE 'open' END AS status
+    FROM seen WHERE wave = 2""",
+)
+def st_resolve(spark, folder):
+    """Incident state after the last wave: quiet incidents resolve by event time."""
+    rows = _detector(spark, folder).incidents(spark)
+    return rows.select("rule_id", "group", "count", "last_seen", "status")
+
+
+@query(
+    "st_session",
+    EV
+    + """, m AS (SELECT 'source=' || source AS grp, ts FROM ev WHERE level IN ('ERROR', 'FATAL')),
+    g AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY grp ORDER BY ts) + INTERVAL 8 HOURS THEN 1 ELSE 0 END AS cut
+      FROM m),
+    n AS (SELECT *, sum(cut) OVER (PARTITION BY grp ORDER BY ts) AS run FROM g),
+    s AS (SELECT 'error-burst' AS rule_id, grp, min(ts) AS first, max(ts) AS last, count(*) AS count FROM n GROUP BY grp, run)
+    SELECT * FROM s WHERE last + INTERVAL 8 HOURS <= (SELECT max(ts) FROM m) - INTERVAL 1 HOUR""",
+)
+def st_session(spark, folder):
+    """Runs of errors per source that ended before the watermark."""
+    matched = match_rules(event_stream(spark, _arrived(spark, folder)), RULES[:1])
+    stream = session_stream(matched.select("rule_id", "grp", "timestamp"), "8 hours", "1 hour")
+    return _run(stream, scratch_path(spark, "stream-session"))

@@ -15,20 +15,25 @@ BLOCK = ["file", "block"]
 BROADCAST_BLOCKS = 200_000
 
 
-def scan_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Columns file, block, seq (grows along a block) and text, without line ends."""
-    return (
-        spark.read.option("lineSep", "\n")
-        .text(path)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("seq"),
-            F.regexp_replace("value", r"\r\z", "").alias("text"),
-        )
+def text_rows(rows: DataFrame) -> DataFrame:
+    """File, block and text of a text scan, batch or stream."""
+    return rows.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.regexp_replace("value", r"\r\z", "").alias("text"),
     )
 
 
+def with_seq(rows: DataFrame) -> DataFrame:
+    """Add ``seq``, which grows along each block; to be taken right at the scan, before any filter."""
+    return rows.withColumn("seq", F.monotonically_increasing_id())
+
+
+def scan_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Columns file, block, text and seq, without line ends."""
+    return with_seq(text_rows(spark.read.option("lineSep", "\n").text(path)))
+
+
 def join_blocks(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     """Lines with the values carried into their block."""
     # A partition packs blocks up to the split size, so there are at most this many blocks.
@@ -45,18 +50,21 @@ def within_block(inclusive: bool = True) -> WindowSpec:
     return Window.partitionBy(*BLOCK).orderBy("seq").rowsBetween(Window.unboundedPreceding, last)
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Columns file, line (1-based in the file) and text.
+def number_lines(scanned: DataFrame) -> DataFrame:
+    """Columns file, line (1-based in the file) and text of scanned lines.
 
     The counting pass reads no text into memory, and only block numbers meet the lines, which stay in place.
     """
-    scanned = scan_lines(spark, path)
     blocks = scanned.groupBy(*BLOCK).agg(F.count("*").alias("_lines"), F.min("seq").alias("_first"))
     before = F.coalesce(F.sum("_lines").over(earlier_blocks()), F.lit(0)).alias("_before")
     numbered = join_blocks(scanned, blocks.select(*BLOCK, "_first", before))
     return numbered.select("file", (F.col("_before") + F.col("seq") - F.col("_first") + 1).alias("line"), "text")
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    return number_lines(scan_lines(spark, path))
+
+
 def file_sizes(spark: SparkSession, path: str) -> DataFrame:
     """Path and length of every file; only the listing is read, not the content."""
     return spark.read.format("binaryFile").load(path).select("path", "length")

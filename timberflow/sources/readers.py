@@ -11,7 +11,7 @@ from timberflow.operators.predicates import java_pattern
 from timberflow.settings import LogSource, Multiline
 from timberflow.sources import csv_records
 from timberflow.sources.json_records import explode_documents, with_record
-from timberflow.sources.lines import BLOCK, earlier_blocks, join_blocks, read_lines, scan_lines, within_block
+from timberflow.sources.lines import BLOCK, earlier_blocks, join_blocks, number_lines, scan_lines, within_block
 
 MAX_LINE_BYTES = 16 * 1024 * 1024
 TOO_LONG = "multiline record exceeds max_lines"
@@ -85,12 +85,11 @@ def assemble_multiline(scanned: DataFrame, setting: Multiline) -> DataFrame:
     )
 
 
-def jsonl_records(spark: SparkSession, source: LogSource) -> DataFrame:
+def jsonl_records(scanned: DataFrame, source: LogSource) -> DataFrame:
     if source.multiline.enabled:
-        texts = assemble_multiline(_bounded(scan_lines(spark, source.path)), source.multiline)
+        texts = assemble_multiline(_bounded(scanned), source.multiline)
     else:
-        lines = read_lines(spark, source.path)
-        texts = _bounded(lines).filter(trim_space(F.col("text")) != "").select(
+        texts = _bounded(number_lines(scanned)).filter(trim_space(F.col("text")) != "").select(
             "file", "line", "text", F.lit(0).alias("joined"), F.lit(None).cast("string").alias("overflow")
         )
     decoded = with_record(texts)
@@ -111,10 +110,11 @@ def read_records(spark: SparkSession, source: LogSource) -> DataFrame:
     if source.format == "json":
         documents = spark.read.text(source.path, wholetext=True)
         return json_records(documents.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
+    scanned = scan_lines(spark, source.path)
     if source.format == "jsonl":
-        return jsonl_records(spark, source)
+        return jsonl_records(scanned, source)
     headers = source.csv_columns or csv_records.read_headers(spark, source.path)
-    return csv_records.records(scan_lines(spark, source.path), headers, has_header=not source.csv_columns)
+    return csv_records.records(scanned, headers, has_header=not source.csv_columns)
 
 
 def line_count(spark: SparkSession, source: LogSource, records: DataFrame) -> DataFrame:
