@@ -8,9 +8,20 @@ from pyspark.sql import functions as F
 _PUNCTUATION = r"[\[\](),;:]*+"
 
 
+# The characters Unicode counts as white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+SPACE_CLASS = r"[\t-\r \x{85}\p{Z}]"
+_OTHER_SPACE = r"[\t-\r\x{85}\p{Z}&&[^ ]]"
+# Every run of white space that is not already one plain space.
+_SPACE_RUN = rf" *+{_OTHER_SPACE}{SPACE_CLASS}*+| {{2,}}+{SPACE_CLASS}*+"
+
+
 def trim_space(text: Column) -> Column:
     """Cut Unicode white space from both ends."""
-    return F.regexp_replace(text, r"(?U)^\s++|\s++$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def normalize_source(text: Column) -> Column:
@@ -21,9 +32,9 @@ def normalize_source(text: Column) -> Column:
 
 def normalize_message(text: Column) -> Column:
     """LF line ends, no blanks at line ends, no white space around the whole."""
-    lines = F.regexp_replace(text, r"\r\n?", "\n")
-    lines = F.regexp_replace(lines, r"[ \t]++(?=\n)", "")
-    return trim_space(F.regexp_replace(lines, r"[ \t]++\z", ""))
+    lines = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"[ \t]++(?=\n)", "")
+    several = F.contains(text, F.lit("\n")) | F.contains(text, F.lit("\r"))
+    return trim_space(F.when(several, lines).otherwise(text))
 
 
 def _at_most(limit: str) -> str:
@@ -41,7 +52,7 @@ _INT64 = (
     rf"|[+]?0*{_at_most(str(2**63 - 1))}"
     rf"|-0*{_at_most(str(2**63))})"
 )
-_NUMBER_TOKEN = rf"(^| ){_PUNCTUATION}{_INT64}{_PUNCTUATION}(?= |$)"
+_NUMBER_TOKEN = rf"(^| ){_PUNCTUATION}(?=[+-]?[0-9]){_INT64}{_PUNCTUATION}(?= |$)"
 
 
 def canonical_message(text: Column) -> Column:
@@ -50,7 +61,7 @@ def canonical_message(text: Column) -> Column:
     Edge punctuation does not hide a number.  One regular expression pass instead of a per-word lambda,
     which keeps the expression in generated code.
     """
-    words = F.btrim(F.regexp_replace(F.lower(text), r"(?U)\s++", " "), F.lit(" "))
+    words = F.btrim(F.regexp_replace(F.lower(text), _SPACE_RUN, " "), F.lit(" "))
     return F.regexp_replace(words, _NUMBER_TOKEN, "$1#")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberflow.functions.fields import MISSING, field_value
+from timberflow.functions.text import SPACE_CLASS
 from timberflow.functions.times import floor_div, time_bucket
 from timberflow.settings import duration_nanos
 
@@ -74,7 +75,7 @@ def event_rate(events: DataFrame, window_nanos: int) -> DataFrame:
 
 def search_terms(events: DataFrame, minimum: int) -> DataFrame:
     """Words of three bytes or more in at least ``minimum`` messages, most frequent first."""
-    words = F.split(F.lower("message"), r"(?U)\s+")
+    words = F.split(F.lower("message"), SPACE_CLASS + "+")
     trimmed = F.transform(words, lambda word: F.btrim(word, F.lit(WORD_EDGES)))
     terms = events.select(F.explode(F.array_distinct(trimmed)).alias("term")).filter(F.octet_length("term") >= 3)
     counted = terms.groupBy("term").agg(F.count("*").alias("frequency")).filter(F.col("frequency") >= minimum)

@@ -89,9 +89,10 @@ def normalize(records: DataFrame, source: LogSource, now: datetime, precise_epoc
         .when((F.col("_at.us") == -ORIGIN_MICROS) & (F.col("_at.nanos") == 0), "event timestamp is required")
     )
     texts = F.transform_values("_extra", lambda _, value: value["text"])
+    # As with the time, exploding keeps filters on the reason from computing all checks a second time.
+    staged = staged.select("*", F.explode(F.array(reason)).alias("reason"))
     staged = staged.withColumns(
         {
-            "reason": reason,
             "timestamp": F.timestamp_micros("_at.us"),
             "ts_nanos": F.col("_at.nanos"),
             "fields": merge_static(texts, source.static_fields),
