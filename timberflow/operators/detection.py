@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -25,6 +25,9 @@ KEYS = ["rule_id", "grp"]
 # Candidates of one group folded in one task; larger groups are followed by pointer doubling instead.
 FOLD_ROWS = 1_000_000
 
+# Large groups whose keys are sent to all tasks; with more of them the join is left to Spark.
+BROADCAST_GROUPS = 100_000
+
 # Rows of one group per block when windows are matched with their rows.
 BLOCK_ROWS = 4096
 
@@ -120,16 +123,14 @@ def fired_rows(candidates: DataFrame, rules: Sequence[Rule], fold_rows: int = FO
     always = candidates.filter(cooldown <= 0)
     slim = candidates.filter(cooldown > 0).select(*KEYS, "us", "nanos", "id", "rn", "_row")
     sizes = slim.groupBy(*KEYS).agg(F.count("*").alias("_size"))
-    largest = sizes.agg(F.max("_size")).first()[0] or 0
-    sized = slim.join(sizes, KEYS) if largest > fold_rows else slim.withColumn("_size", F.lit(0))
-    folded = (
-        sized.filter(F.col("_size") <= fold_rows)
-        .withColumn("cooldown", cooldown)
-        .groupBy(*KEYS)
-        .applyInPandas(_fold, "_row bigint")
-    )
-    if largest > fold_rows:
-        folded = folded.union(_chase(sized.filter(F.col("_size") > fold_rows).drop("_size"), cooldown))
+    large = materialize(sizes.filter(F.col("_size") > fold_rows).select(*KEYS))
+    count = large.count()
+    if count <= BROADCAST_GROUPS:
+        large = F.broadcast(large)
+    small = slim.join(large, KEYS, "left_anti") if count else slim
+    folded = small.withColumn("cooldown", cooldown).groupBy(*KEYS).applyInPandas(_fold, "_row bigint")
+    if count:
+        folded = folded.union(_chase(slim.join(large, KEYS, "left_semi"), cooldown))
     return always.unionByName(candidates.join(folded, "_row", "left_semi"))
 
 

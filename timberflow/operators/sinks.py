@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberflow import schemas
@@ -12,25 +12,25 @@ from timberflow.operators import quality
 from timberflow.operators.dedup import EVENT_ORDER, duplicate_ids
 
 
-def _save(df: DataFrame, order: list[str], violation, path: str) -> None:
+def _save(df: DataFrame, order: list[str], violation: Column, path: str, mode: str) -> None:
     twice = duplicate_ids(df).limit(1).collect()
     if twice:
         raise ValueError(f"duplicate id {twice[0]['id']!r}")
     checked = quality.checked(df, violation)
     ranged = checked.repartitionByRange(*[F.col(name) for name in order]).sortWithinPartitions(*order)
-    ranged.write.mode("errorifexists").parquet(path)
+    ranged.write.mode(mode).parquet(path)
 
 
-def save_events(events: DataFrame, path: str) -> None:
+def save_events(events: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write checked events with unique ids in (time, id) order to a new folder.
 
     Files cover ranges of time, so a query by time reads only the files it needs.
     """
-    _save(events.select(*schemas.EVENTS), EVENT_ORDER, quality.event_violation(), path)
+    _save(events.select(*schemas.EVENTS), EVENT_ORDER, quality.event_violation(), path, mode)
 
 
-def save_incidents(incidents: DataFrame, path: str) -> None:
-    _save(incidents.select(*schemas.INCIDENTS), ["first_seen", "id"], quality.incident_violation(), path)
+def save_incidents(incidents: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    _save(incidents.select(*schemas.INCIDENTS), ["first_seen", "id"], quality.incident_violation(), path, mode)
 
 
 def export_columns(events: DataFrame) -> DataFrame:
