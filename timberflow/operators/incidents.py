@@ -13,12 +13,14 @@ from timberflow.functions.times import instant
 from timberflow.operators.detection import per_rule
 from timberflow.settings import Rule
 
+# States and the reasons history shows.
 STATUSES = ("open", "acknowledged", "resolved")
-_COLUMNS = list(schemas.INCIDENTS)
-_KEY = ["rule_id", "group"]
 RESUMED = "matching activity resumed"
 QUIET = "no matching activity during resolve interval"
 
+_COLUMNS = list(schemas.INCIDENTS)
+_KEY = ["rule_id", "group"]
+
 
 def refusal(target: Column, at: Column) -> Column:
     """Reason a status change is refused, null when it is allowed."""

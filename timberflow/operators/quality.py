@@ -20,6 +20,7 @@ def _no_time(column: str) -> Column:
 
 
 def event_violation() -> Column:
+    # Reasons, in the order the checks run.
     return (
         F.when(_blank("id"), "event id is required")
         .when(_no_time("timestamp"), "event timestamp is required")
@@ -31,6 +32,7 @@ def event_violation() -> Column:
 
 
 def incident_violation() -> Column:
+    # Reasons, in the order the checks run.
     return (
         F.when(_blank("id") | _blank("rule_id"), "incident id and rule id are required")
         .when(

@@ -13,6 +13,7 @@ from timberflow.operators.dedup import EVENT_ORDER, event_references, first_per_
 from timberflow.operators.incidents import apply_transition
 from timberflow.settings import Retention
 
+# Fixed value: reason shown in the history.
 EXPIRED = "supporting events expired by retention"
 
 

@@ -69,6 +69,7 @@ def normalize(records: DataFrame, source: LogSource, now: datetime, precise_epoc
     nested = F.array_min(F.map_keys(F.map_filter("_extra", lambda _, value: _not_scalar(value))))
     staged = staged.withColumn("_nested", nested)
     nested_entry = F.try_element_at("_extra", F.col("_nested"))
+    # Reasons, in the order the checks run.
     reason = (
         F.when(F.col("error").isNotNull(), F.col("error"))
         .when(time.isNull(), F.concat(F.lit("missing timestamp field "), quote(F.lit(source.time_field))))
