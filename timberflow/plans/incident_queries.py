@@ -366,7 +366,7 @@ def dangling_refs(spark, folder):
 )
 def q_incident(spark, folder):
     rows = stored_incidents(spark, folder)
-    terms = filters.EventFilter(incident=rows.agg(F.min("id")).first()[0])
+    terms = filters.EventFilter(incident=rows.agg(F.min("id")).first()[0] or "none")
     found = filters.matching(adapter.hourly_events(spark, folder), terms, rows)
     return found.select("id", "timestamp", "level", "source", "message")
 
