@@ -3,8 +3,6 @@
 import json
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import functions as F
-
 from timberflow.plans.flows import Store, run_compact, run_detect, run_ingest, run_report, run_verify
 from timberflow.settings import LogSource, Predicate, Retention, Rule
 

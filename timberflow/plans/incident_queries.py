@@ -11,7 +11,7 @@ from timberflow.operators import dedup, filters, incidents, quality, reports, re
 from timberflow.operators.detection import detect, detected_incidents, evaluations
 from timberflow.plans import adapter
 from timberflow.plans.catalog import query
-from timberflow.plans.oracle import EV, EVH, detection_ctes, events_cte, rfc3339
+from timberflow.plans.oracle import EV, EVH, detection_ctes, rfc3339
 from timberflow.session import scratch_path
 from timberflow.settings import Predicate, Retention, Rule
 
@@ -236,7 +236,7 @@ def inc_auto_resolve(spark, folder):
     return _shown(incidents.auto_resolve(stored_incidents(spark, folder), RULES, NOW))
 
 
-_EMPTY_RUN = [rule for rule in RULES if rule.id != "purchase-surge"]
+_SECOND_RUN = [rule for rule in RULES if rule.id != "purchase-surge"]
 
 
 def _reconciled(spark: SparkSession, folder: str, idempotent: bool = False) -> DataFrame:
@@ -247,7 +247,7 @@ def _reconciled(spark: SparkSession, folder: str, idempotent: bool = False) -> D
     empty = none.drop("fired_rn").limit(0)
     old = incidents.reconcile(empty, none, RULES, HALF)
     old = incidents.transition(old, _asked(old)).drop("refused")
-    again = detected_incidents(detect(events, _EMPTY_RUN), NOW)
+    again = detected_incidents(detect(events, _SECOND_RUN), NOW)
     return incidents.reconcile(old, again, RULES, NOW, idempotent)
 
 
