@@ -1,4 +1,4 @@
-"""A store from first ingest to verification, and streams against their batch forms."""
+"""A store from first ingest to verification."""
 
 import json
 from datetime import datetime, timedelta, timezone
