@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberflow.llm import bpe_automaton, simhash
-from timberflow.llm.common import table
+from timberflow.llm import bpe_automaton, quality, simhash, toxicity
+from timberflow.llm.common import held_out, table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,22 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op1_toxicity")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", text_of().alias("text"))
+    model = toxicity.fit(documents, table(spark, folder, "labels"), parts=5, part=0)
+    scored = documents.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), toxicity.scorer(model)(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op2_quality")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", text_of().alias("text"))
+    model = quality.fit(documents, table(spark, folder, "labels"), parts=4, part=2)
+    scored = documents.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), quality.scorer(model)(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 @query("op3_simhash_near_dedup")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
