@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 #: Distinct pieces and arcs that one worker memorises before it starts anew.
-MEMORY = 400_000
+MEMORY = 250_000
 
 #: White space of the Unicode property White_Space; Python's split() takes four control characters more.
 SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -52,7 +52,7 @@ class Arcs(dict):
         self.owner = owner
 
     def __missing__(self, key: int) -> bool:
-        if len(self) > 4 * MEMORY:
+        if len(self) > 2 * MEMORY:
             self.clear()
         self[key] = found = self.owner.has_arc(key >> 20, key & 0xFFFFF)
         return found
@@ -241,3 +241,16 @@ def decoder(path: str) -> Callable[[Column], Column]:
             yield pd.Series([None if b is None else compiled.decode(b) for b in batch], dtype=object)
 
     return decode
+
+
+def codec(path: str) -> Callable[[Column], Column]:
+    """Column function: text to (ids, decoded), in one pass through one worker for each task."""
+
+    @F.pandas_udf("ids binary, decoded string")
+    def both(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        compiled = automaton(path)
+        for batch in texts:
+            ids = [compiled.encode(t) for t in batch]
+            yield pd.DataFrame({"ids": ids, "decoded": [compiled.decode(b) for b in ids]})
+
+    return both

@@ -8,7 +8,15 @@ from pyspark.sql import functions as F
 
 from timberflow.session import materialize
 
-__all__ = ["calibrate", "held_out", "labelled_sample", "materialize", "sigmoid", "table", "text_of"]
+__all__ = ["calibrate", "held_out", "labelled_sample", "materialize", "sigmoid", "small_batches", "table", "text_of"]
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> SparkSession:
+    """Let Python workers get at most ``rows`` rows at a time, as one row may be a long text."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+    return spark
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

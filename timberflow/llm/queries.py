@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberflow.llm import bpe_automaton, quality, simhash, toxicity
-from timberflow.llm.common import held_out, table, text_of
+from timberflow.llm.common import held_out, small_batches, table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,11 +18,15 @@ ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def register(run: Query) -> Query:
+    def register(build: Query) -> Query:
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            return build(small_batches(spark), folder)
+
+        run.__name__, run.__doc__ = name, build.__doc__
         QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
-        return run
+        return build
 
     return register
 
@@ -53,8 +57,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_bpe_encode_decode")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    coded = table(spark, folder, "documents").select("doc_id", bpe_automaton.encoder(path)(F.col("text")).alias("ids"))
-    decoded = coded.select("doc_id", "ids", bpe_automaton.decoder(path)(F.col("ids")).alias("decoded"))
+    coded = table(spark, folder, "documents").select("doc_id", bpe_automaton.codec(path)(F.col("text")).alias("c"))
+    decoded = coded.select("doc_id", "c.ids", "c.decoded")
     return decoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
