@@ -12,7 +12,7 @@ their remaining bits in addition, by the same rule, so that a crowd is never com
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -65,15 +65,27 @@ def _variants(value: Column, width: int, parts: int) -> Column:
     the bits stand whole: nothing may differ.
     """
     edges = [width * k // max(parts, 1) for k in range(max(parts, 1) + 1)]
+    one = F.lit(1).cast("long")
+
+    def segment(low: int, high: int) -> Column:
+        bits = F.shiftrightunsigned(value, low)
+        return bits.bitwiseAND(F.lit((1 << (high - low)) - 1)) if high - low < BITS else bits
+
+    def deleted(low: int, bits: Column) -> Callable[[Column], Column]:
+        def variant(bit: Column) -> Column:
+            side = F.call_function("shiftrightunsigned", bits, bit).bitwiseAND(one).cast("int")
+            kept = bits.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", one, bit)))
+            return F.struct(F.xxhash64(F.lit(low), bit, kept).alias("part"), side.alias("side"))
+
+        return variant
+
     found = []
     for low, high in zip(edges, edges[1:], strict=False):
-        segment = F.shiftrightunsigned(value, low).bitwiseAND(F.lit((1 << (high - low)) - 1 if high - low < BITS else -1))
-        found.append(F.struct(F.xxhash64(F.lit(low), F.lit(-1), segment).alias("part"), F.lit(2).alias("side")))
-        for bit in range(high - low if parts else 0):
-            side = F.shiftrightunsigned(segment, bit).bitwiseAND(F.lit(1)).cast("int")
-            kept = segment.bitwiseAND(F.lit(~(1 << bit) if bit < BITS - 1 else (1 << bit) - 1))
-            found.append(F.struct(F.xxhash64(F.lit(low), F.lit(bit), kept).alias("part"), side.alias("side")))
-    return F.array(*found)
+        bits = segment(low, high)
+        found.append(F.array(F.struct(F.xxhash64(F.lit(low), F.lit(-1), bits).alias("part"), F.lit(2).alias("side"))))
+        if parts:
+            found.append(F.transform(F.sequence(F.lit(0), F.lit(high - low - 1)), deleted(low, bits)))
+    return F.concat(*found)
 
 
 def _meet(index: DataFrame, distance: int) -> DataFrame:
