@@ -8,11 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberflow.llm import bpe_automaton, quality, simhash, toxicity
+from timberflow.llm import bpe_automaton, packing, quality, simhash, surrogates, toxicity
 from timberflow.llm.common import held_out, small_batches, table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Key of the test tables' surrogates; a user keeps an own one secret.
+SURROGATE_KEY = "test tables"
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -65,3 +68,15 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op8_best_fit_packing")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return packing.pack_documents(documents, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op10_pii_surrogates")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return surrogates.replace(documents, SURROGATE_KEY)
