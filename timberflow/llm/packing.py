@@ -14,7 +14,10 @@ length are interchangeable, so a piece needs its rank among its length only, whi
 
 from __future__ import annotations
 
+import functools
+import os
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,8 +26,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from tokenizers import Tokenizer
 
-from timberflow.llm.bpe_automaton import automaton
+from timberflow.llm.bpe_automaton import CONTROLS, SPACES
 from timberflow.llm.common import materialize
 
 CAPACITY = 4096
@@ -33,9 +37,40 @@ GROUPINGS = ((12, 4), (24, 4), (96, 4))
 #: Pieces that one window of one length is meant to hold, and the least number of salts.
 WINDOW_ROWS, LEAST_SALTS = 20_000, 16
 
+#: Distinct pieces between white space that one worker memorises before it starts anew.
+MEMORY = 600_000
+
 Run = tuple[int, int, int, int, int]  # length, first rank, count, first sequence, offset
 
 
+class Tokens:
+    """Ids by the tokenizers library, asked once for each distinct piece between white space.
+
+    Neither the file's normalizer nor its splitter reaches across white space, so the pieces' ids in a row are the text's.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share out the cores
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        cut = [SPACES.split(t) if CONTROLS.search(t) else t.split() for t in (t or "" for t in texts)]
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        new = list(set().union(*cut) - self.known.keys())
+        for k in range(0, len(new), 4096):
+            found = self.tokenizer.encode_batch_fast(new[k : k + 4096], add_special_tokens=False)
+            self.known.update((p, array("I", e.ids).tobytes()) for p, e in zip(new[k : k + 4096], found, strict=True))
+        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+
+
+@functools.lru_cache(maxsize=2)
+def tokens(path: str) -> Tokens:
+    return Tokens(path)
+
+
 def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end: int = 1, keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each piece, and its ids' bytes where ``keep_ids`` is set.
 
@@ -46,11 +81,11 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end: int =
 
     @F.pandas_udf(f"array<struct<{own.replace(' int', ': int').replace(' long', ': long').replace(' binary', ': binary')}>>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        compiled, step, last = automaton(path), 4 * capacity, np.array([end], "<u4").tobytes()
+        step, last = 4 * capacity, np.array([end], "<u4").tobytes()
         for texts in batches:
             rows = []
-            for text in texts:
-                ids = compiled.encode(text) + last
+            for ids in tokens(path).encode(list(texts)):
+                ids += last
                 parts = [ids[k : k + step] for k in range(0, len(ids), step)]
                 rows.append(
                     [
