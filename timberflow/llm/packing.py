@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import os
+import string
 import zlib
 from array import array
 from collections import defaultdict
@@ -44,26 +45,50 @@ Run = tuple[int, int, int, int, int]  # length, first rank, count, first sequenc
 
 
 class Tokens:
-    """Ids by the tokenizers library, asked once for each distinct piece between white space.
+    """Ids by the tokenizers library, asked once for each distinct word core.
 
-    Neither the file's normalizer nor its splitter reaches across white space, so the pieces' ids in a row are the text's.
+    Neither the file's normalizer nor its splitter reaches across white space, nor from a letter or digit into ASCII marks that
+    end a piece, and case is dropped: a text's ids are those of its pieces in a row, and a piece's those of its core and its marks.
+    Texts that hold the opening of a special token go to the library as a whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share out the cores
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+
+    def _ask(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        for k in range(0, len(texts), 4096):
+            found = self.tokenizer.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False)
+            yield from ((t, array("I", e.ids).tobytes()) for t, e in zip(texts[k : k + 4096], found, strict=True))
+
+    def _learn(self, new: set[str]) -> None:
+        if len(self.cores) > MEMORY:
+            self.cores = {}
+        again = new & self.older.keys()
+        self.known.update((p, self.older[p]) for p in again)
+        parts = []
+        for piece in new - again:
+            core = piece.rstrip(string.punctuation)
+            if core and not (core[-1].isalpha() or core[-1] in string.digits):
+                core = piece  # the marks go on
+            parts.append((piece, core.lower() if core.isascii() else core, piece[len(core) :]))
+        asked = {x for _, core, marks in parts for x in (core, marks)} - self.cores.keys()
+        self.cores.update(self._ask(list(asked)))
+        self.known.update((piece, self.cores[core] + self.cores[marks]) for piece, core, marks in parts)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [SPACES.split(t) if CONTROLS.search(t) else t.split() for t in (t or "" for t in texts)]
+        whole = [t or "" for t in texts]
+        cut = [[] if "<|" in t else SPACES.split(t) if CONTROLS.search(t) else t.split() for t in whole]
         if len(self.known) > MEMORY:
-            self.known.clear()
-        new = list(set().union(*cut) - self.known.keys())
-        for k in range(0, len(new), 4096):
-            found = self.tokenizer.encode_batch_fast(new[k : k + 4096], add_special_tokens=False)
-            self.known.update((p, array("I", e.ids).tobytes()) for p, e in zip(new[k : k + 4096], found, strict=True))
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+            self.known, self.older = {}, self.known
+        self._learn(set().union(*cut) - self.known.keys())
+        special = dict(self._ask([t for t in whole if "<|" in t]))
+        return [special[t] if "<|" in t else b"".join(map(self.known.__getitem__, c)) for t, c in zip(whole, cut, strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
