@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberflow.llm import bpe_automaton, packing, quality, simhash, surrogates, toxicity
+from timberflow.llm import bit_sliced, bpe_automaton, packing, permutation_index, quality, simhash, surrogates, toxicity
 from timberflow.llm.common import held_out, small_batches, table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,13 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     return surrogates.replace(documents, SURROGATE_KEY)
+
+
+@query("op6_bit_sliced_top_k")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return bit_sliced.search(table(spark, folder, "embeddings"), every=50, k=5)
+
+
+@query("op7_permutation_index")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return permutation_index.search(table(spark, folder, "embeddings"), every=20, k=20)
