@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberflow.llm import bit_sliced, bpe_automaton, packing, permutation_index, quality, simhash, site_style_tree, surrogates, toxicity
+from timberflow.llm import bit_sliced, bpe_automaton, packing, permutation_index, quality, quotation, simhash, site_style_tree, surrogates, toxicity
 from timberflow.llm.common import held_out, small_batches, table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,3 +96,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     extracted = site_style_tree.main_text(table(spark, folder, "pages").select("page_id", "url", "html"))
     return extracted.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query("op9_quotation_linking")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return quotation.link(table(spark, folder, "conversations").select("conv_id", "turn", "role", "text"))
