@@ -13,6 +13,7 @@ from timberflow.settings import LogSource, Multiline
 from timberflow.sources.csv_records import check_headers, split_records
 from timberflow.sources.ingest import ingest, merged_stats, tagged_source
 from timberflow.sources.lines import read_lines, scan_lines
+from timberflow.sources.normalize import cut_raw
 from timberflow.sources.readers import assemble_multiline
 
 NOW = datetime(2025, 3, 1, 12)
@@ -95,7 +96,9 @@ def test_static_fields_and_raw_cut(spark, tmp_path):
     long = "é" * 3000
     found = rows(spark, tmp_path, record(team="x") + "\n" + long, static_fields={"team": "ops"})
     assert found[0]["fields"] == {"team": "ops"}
-    assert found[1]["raw"] == "é" * 2048
+    assert found[1]["raw"] == long
+    cut = spark.range(1).select(cut_raw(F.lit("x" + long), 4096), cut_raw(F.lit(long), None)).first()
+    assert cut[0] == "x" + "é" * 2047 + "�" and cut[1] == long
 
 
 def test_long_flat_record_does_not_overflow(spark, tmp_path):

@@ -127,6 +127,5 @@ def match_rules(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         )
         for rule in active
     ]
-    matched_any = reduce(lambda a, b: a | b, [rule_column(rule) for rule in active])
-    hits = F.explode(F.array_compact(F.array(*candidates)))
-    return events.filter(matched_any).select(hits.alias("hit"), "*").select("hit.rule_id", "hit.grp", "*").drop("hit")
+    hits = F.explode(F.array_compact(F.array(*candidates)))  # no rows where no rule matches
+    return events.select(hits.alias("hit"), "*").select("hit.rule_id", "hit.grp", "*").drop("hit")

@@ -411,17 +411,17 @@ _filter("q_field", "k = '42'", filters.EventFilter(fields={"K": "42"}))
 
 @query(
     "q_order",
-    EV + f"SELECT {_SLIM_SQL} FROM ev WHERE level IN ('ERROR', 'FATAL') ORDER BY ts DESC, id DESC LIMIT 100000",
+    EV + f"SELECT {_SLIM_SQL} FROM ev WHERE level IN ('ERROR', 'FATAL') ORDER BY ts DESC, id DESC",
 )
 def q_order(spark, folder):
-    terms = filters.EventFilter(min_level="ERROR", descending=True, limit=filters.MAX_LIMIT)
+    terms = filters.EventFilter(min_level="ERROR", descending=True)
     return filters.query_events(adapter.events(spark, folder), terms).select(*_SLIM)
 
 
 @query("q_page", EV + f"SELECT {_SLIM_SQL} FROM ev WHERE level <> 'DEBUG' ORDER BY ts, id LIMIT 100 OFFSET 50")
 def q_page(spark, folder):
-    """Second page of the default page size; the limit is the feature."""
-    terms = filters.EventFilter(min_level="INFO", offset=50)
+    """A page of 100 rows; the limit is the feature."""
+    terms = filters.EventFilter(min_level="INFO", offset=50, limit=100)
     return filters.query_events(adapter.events(spark, folder), terms).select(*_SLIM)
 
 

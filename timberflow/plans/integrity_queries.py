@@ -11,7 +11,10 @@ from timberflow.plans import adapter
 from timberflow.plans.catalog import query
 from timberflow.plans.incident_queries import _DET, NOW, stored_incidents
 from timberflow.plans.oracle import EV, rfc3339 as rfc3339_sql
-from timberflow.session import scratch_path
+from timberflow.session import materialize, scratch_path
+
+# Order of a user's audit records.
+ORDER = ["time", "event_id"]
 
 # --- manifests --------------------------------------------------------------------------------------------
 
@@ -142,9 +145,9 @@ def _sealed(spark: SparkSession, folder: str) -> DataFrame:
     """Chains sealed in two steps, the second on top of the first."""
     actions = _actions(spark, folder)
     early = F.col("time") < F.lit("2024-01-16").cast("timestamp")
-    first = integrity.seal_chain(actions.filter(early), "chain", ["time"])
+    first = materialize(integrity.seal_chain(actions.filter(early), "chain", ORDER))
     last = integrity.last_records(first, "chain")
-    return first.unionByName(integrity.seal_chain(actions.filter(~early), "chain", ["time"], last))
+    return materialize(first.unionByName(integrity.seal_chain(actions.filter(~early), "chain", ORDER, last)))
 
 
 @query(

@@ -22,8 +22,8 @@ from timberflow.streaming.streams import (
     start_to_table,
 )
 
-# Event times at which the waves of arriving files end.
-WAVES = ("2024-01-11", "2024-01-21", "2025-01-01")
+# Event times at which the waves of arriving files end; the last one takes all that is left.
+WAVES = ("2024-01-11", "2024-01-21", None)
 
 
 def _arrived(spark: SparkSession, folder: str) -> str:
@@ -77,10 +77,11 @@ def _detector(spark: SparkSession, folder: str) -> StreamingDetector:
     source = scratch_path(spark, "arriving")
     detector = StreamingDetector(RULES, scratch_path(spark, "stream-detect"))
     events = adapter.hourly_events(spark, folder)
-    since = "2000-01-01"
+    since = None
     for until in WAVES:
         at = F.col("timestamp")
-        wave = events.filter((at >= F.lit(since).cast("timestamp")) & (at < F.lit(until).cast("timestamp")))
+        wave = events.filter(at >= F.lit(since).cast("timestamp")) if since else events
+        wave = wave.filter(at < F.lit(until).cast("timestamp")) if until else wave
         wave.write.mode("append").parquet(source)
         start_detection(event_stream(spark, source), detector).awaitTermination()
         since = until

@@ -15,8 +15,6 @@ from timberflow.functions.text import normalize_message, normalize_source
 from timberflow.functions.times import ORIGIN_MICROS, instant, quote, type_name, with_timestamp
 from timberflow.settings import LogSource
 
-RAW_BYTES = 4096
-
 
 def merge_static(fields: Column, static: Mapping[str, str]) -> Column:
     """Fields with the static ones added; a static field replaces one of the same name."""
@@ -26,9 +24,9 @@ def merge_static(fields: Column, static: Mapping[str, str]) -> Column:
     return F.map_concat(F.map_filter(fields, lambda key, _: ~key.isin(list(static))), pairs)
 
 
-def cut_raw(text: Column) -> Column:
-    """First 4096 bytes; a character cut in two is replaced."""
-    return F.make_valid_utf8(F.substring(text.cast("binary"), 1, RAW_BYTES).cast("string"))
+def cut_raw(text: Column, most: int | None) -> Column:
+    """The text, or its first ``most`` bytes, where a character cut in two is replaced."""
+    return text if most is None else F.make_valid_utf8(F.substring(text.cast("binary"), 1, most).cast("string"))
 
 
 def _not_scalar(entry: Column) -> Column:
@@ -39,7 +37,7 @@ def _expected_scalar(prefix: str, entry: Column) -> Column:
     return F.concat(F.lit(f"{prefix}: expected scalar, got "), type_name(entry["kind"]))
 
 
-def normalize(records: DataFrame, source: LogSource, now: datetime, precise_epochs: bool = False) -> DataFrame:
+def normalize(records: DataFrame, source: LogSource, now: datetime, precise_epochs: bool = False, raw_bytes: int | None = None) -> DataFrame:
     """Tagged table: event columns plus ``reason`` (null for a good record), ``raw`` and what the input adds.
 
     Needs columns line, raw, record and error.  Checks run in a fixed order and the first failure counts.
@@ -105,4 +103,4 @@ def normalize(records: DataFrame, source: LogSource, now: datetime, precise_epoc
     staged = staged.withColumn("fingerprint", F.when(F.col("reason").isNull(), content))
     identity = event_id(F.col("timestamp"), F.col("ts_nanos"), F.col("source"), F.col("level"), F.col("fingerprint"))
     staged = staged.withColumn("id", F.when(F.col("reason").isNull(), identity))
-    return staged.select(*schemas.EVENTS, "reason", cut_raw(F.col("raw")).alias("raw"), "file", "joined")
+    return staged.select(*schemas.EVENTS, "reason", cut_raw(F.col("raw"), raw_bytes).alias("raw"), "file", "joined")
