@@ -100,35 +100,54 @@ def _meet(index: DataFrame, distance: int) -> DataFrame:
     return left.join(right, (left["key"] == right["key"]) & sides & close).select("a", "b")
 
 
-def links(fingerprints: DataFrame, distance: int = 2, crowd: int = 256) -> DataFrame:
-    """Every pair (a < b) of distinct fingerprints ``fp`` that differ in at most ``distance`` bits (1 or more)."""
-    nodes = fingerprints.select(F.col("fp").cast("long")).filter("fp is not null").distinct()
+def _turned(distance: int) -> list[tuple[Column, int]]:
+    """(fingerprint turned until the segment is lowest and the rest above it, the segment's width) of each segment."""
     edges = [BITS * k // distance for k in range(distance + 1)]
-    widths = [high - low for low, high in zip(edges, edges[1:], strict=False)]
-    cut = [  # the fingerprint turned until the segment is lowest and the rest above it
-        (F.shiftrightunsigned("fp", low).bitwiseOR(F.shiftleft("fp", BITS - low)) if low else F.col("fp")) for low in edges[:-1]
+    fp = F.col("fp")
+    return [
+        (F.shiftrightunsigned(fp, low).bitwiseOR(F.shiftleft(fp, BITS - low)) if low else fp, high - low)
+        for low, high in zip(edges, edges[1:], strict=False)
     ]
-    index = None
-    for k, (value, width) in enumerate(zip(cut, widths, strict=True)):
-        rows = nodes.select("fp", F.lit(k).alias("segment"), F.explode(_variants(value, width, 1)).alias("v"))
-        rows = rows.select("fp", "segment", F.xxhash64("segment", "v.part").alias("key"), F.col("v.side").alias("side"))
-        index = rows if index is None else index.unionByName(rows)
-    crowded = index.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("key")
-    plain = index.join(crowded, "key", "left_anti")
-    members, finer = index.join(crowded, "key", "left_semi"), None
-    for k, (value, width) in enumerate(zip(cut, widths, strict=True)):
+
+
+def _index(nodes: DataFrame, distance: int) -> DataFrame:
+    """(fp, segment, key, side): every fingerprint under all variants of its segments."""
+
+    def entry(k: int) -> Callable[[Column], Column]:
+        return lambda v: F.struct(F.lit(k).alias("segment"), F.xxhash64(F.lit(k), v["part"]).alias("key"), v["side"].alias("side"))
+
+    entries = [F.transform(_variants(value, width, 1), entry(k)) for k, (value, width) in enumerate(_turned(distance))]
+    return nodes.select("fp", F.explode(F.concat(*entries)).alias("v")).select("fp", "v.segment", "v.key", "v.side")
+
+
+def _finer(members: DataFrame, distance: int) -> DataFrame:
+    """(fp, key, side): the entries of crowded keys, each parted by the variants of the bits outside its segment."""
+    outer = F.col("side")
+
+    def whole(v: Column) -> Column:
+        return F.struct(F.xxhash64("key", v["part"], F.lit(-1)).alias("key"), v["side"].alias("side"))
+
+    def deleted(v: Column) -> Column:
+        turn = F.when(v["side"] == 2, -1).otherwise(outer.bitwiseXOR(v["side"]))
+        return F.struct(F.xxhash64("key", v["part"], turn).alias("key"), outer.alias("side"))
+
+    parted = F
+    for k, (value, width) in enumerate(_turned(distance)):
         rest = F.shiftrightunsigned(value, width) if width < BITS else F.lit(0).cast("long")
-        for whole in (True, False):
-            left = distance if whole else distance - 1  # bits that may still differ
-            rows = members.filter((F.col("segment") == k) & ((F.col("side") == 2) if whole else (F.col("side") != 2)))
-            rows = rows.select("fp", "key", F.col("side").alias("outer"), F.explode(_variants(rest, BITS - width, left)).alias("v"))
-            inner = F.col("v.side")
-            turn = F.lit(-1) if whole else F.when(inner == 2, -1).otherwise(F.col("outer").bitwiseXOR(inner))
-            rows = rows.select(
-                "fp", F.xxhash64("key", "v.part", turn).alias("key"), (inner if whole else F.col("outer")).alias("side")
-            )
-            finer = rows if finer is None else finer.unionByName(rows)
-    both = _meet(plain, distance).unionByName(_meet(finer, distance))
+        here = F.col("segment") == k  # a whole segment leaves ``distance`` bits that may still differ, a deleted bit one less
+        parted = parted.when(here & (outer == 2), F.transform(_variants(rest, BITS - width, distance), whole))
+        parted = parted.when(here & (outer != 2), F.transform(_variants(rest, BITS - width, distance - 1), deleted))
+    return members.select("fp", F.explode(parted).alias("v")).select("fp", "v.key", "v.side")
+
+
+def links(fingerprints: DataFrame, distance: int = 2, crowd: int = 256) -> DataFrame:
+    """Every pair (a < b) of the distinct fingerprints ``fp`` (none repeated) that differ in at most ``distance`` bits (1 or more)."""
+    nodes = fingerprints.select(F.col("fp").cast("long")).filter("fp is not null")
+    index = _index(nodes, distance)
+    crowded = materialize(index.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("key"))
+    members = materialize(index.join(crowded, "key", "left_semi").select("fp", "segment", "key", "side"))
+    plain = index.join(crowded, "key", "left_anti").select("fp", "key", "side")
+    both = _meet(plain, distance).unionByName(_meet(_finer(members, distance), distance))
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
