@@ -1,4 +1,4 @@
-"""The ten registered queries with their production parameters, and the pipeline's registration."""
+"""The registered queries with their production parameters, and their SQL where it exists."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberflow.llm import bit_sliced, bpe_automaton, packing, permutation_index, quality, quotation, simhash, site_style_tree, surrogates, toxicity
+from timberflow.llm import bit_sliced, bpe_automaton, merkle, oracles, packing, permutation_index, quality, quotation, simhash, site_style_tree, surrogates, toxicity
 from timberflow.llm.common import held_out, small_batches, table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +101,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_quotation_linking")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return quotation.link(table(spark, folder, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+@query("op11_merkle_manifest", oracles.merkle())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.tampered(table(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars", "text"))
