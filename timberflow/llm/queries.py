@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberflow.llm import bit_sliced, bpe_automaton, differencing, merkle, oracles, packing, permutation_index, quality, quotation, simhash, site_style_tree, surrogates, toxicity
+from timberflow.llm import bit_sliced, bpe_automaton, differencing, merkle, oracles, packing, permutation_index, quality, quotation, simhash, site_style_tree, spelling, surrogates, toxicity
 from timberflow.llm.common import held_out, small_batches, table, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +112,8 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     assigned = differencing.assign(table(spark, folder, "documents").select("doc_id", "text"), shards=40)
     return assigned.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op12_spelling_variants", oracles.spelling())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents").select("doc_id", "text"))
