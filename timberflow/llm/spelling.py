@@ -253,14 +253,14 @@ class TwoWay:
 def _search(pdf: pd.DataFrame) -> pd.DataFrame:
     """Per search of one part of a bucket: how many near words its part of the index has, and the best of them."""
     listed, asked = pdf[pdf["posted"]], pdf[~pdf["posted"]]
-    none = pd.DataFrame({"word": [], "n_near": [], "n": [], "form": []}).astype({"word": object, "n_near": int, "n": int, "form": object})
+    out: dict[str, list] = {"word": [], "n_near": [], "n": [], "form": []}
+    kinds_of = {"word": object, "n_near": "int64", "n": "int64", "form": object}
     if not len(listed) or not len(asked):
-        return none
+        return pd.DataFrame(out).astype(kinds_of)
     # In code-point order, so that a word's place also settles ties.
     listed = listed.sort_values("word", ignore_index=True)
     words, counts = listed["word"].tolist(), listed["n"].to_numpy()
     index = TwoWay(words)
-    out = []
     for k in range(0, len(asked), AT_A_TIME):
         part = asked.iloc[k : k + AT_A_TIME]
         mine = part["word"].tolist()
@@ -277,8 +277,11 @@ def _search(pdf: pd.DataFrame) -> pd.DataFrame:
         who, word = who[best], word[best]
         first = np.flatnonzero(np.diff(who, prepend=-1))
         sizes = np.diff(np.append(first, len(who)))
-        out.append(pd.DataFrame({"word": [mine[q] for q in who[first]], "n_near": sizes, "n": counts[word[first]], "form": [words[v] for v in word[first]]}))
-    return pd.concat(out, ignore_index=True) if out else none
+        out["word"] += [mine[q] for q in who[first]]
+        out["n_near"] += sizes.tolist()
+        out["n"] += counts[word[first]].tolist()
+        out["form"] += [words[v] for v in word[first]]
+    return pd.DataFrame(out).astype(kinds_of)
 
 
 def postings(words: DataFrame, buckets: int) -> DataFrame:
