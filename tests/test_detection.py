@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from timberflow import schemas
-from timberflow.operators.detection import detect, detected_incidents, evaluations
-from timberflow.operators.incidents import auto_resolve, reconcile, transition
-from timberflow.operators.positions import rank_and_before, with_position
+from timberflow.operators.detection import covered_events, detect, detected_incidents, evaluations, fired_ranges
+from timberflow.operators.incidents import auto_resolve, merged_links, news_of_rows, news_of_run, reconcile, transition
+from timberflow.operators.positions import merge_ranges, rank_and_before, with_position
 from timberflow.settings import Predicate, Rule
 
 T0 = datetime(2025, 3, 1, 10, tzinfo=timezone.utc)
@@ -50,7 +50,7 @@ def walk(rows, rule, levels):
 
 
 @pytest.mark.parametrize(
-    "group_by,threshold,window,cooldown,fold_rows",
+    "group_by,threshold,window,cooldown,chain_rows",
     [
         (["source"], 3, "30s", "60s", 1_000_000),
         (["source"], 3, "30s", "60s", 5),
@@ -60,11 +60,11 @@ def walk(rows, rule, levels):
         (["source"], 1, "-5s", "7s", 1_000_000),
     ],
 )
-def test_random_windows(spark, group_by, threshold, window, cooldown, fold_rows):
-    rng = random.Random(threshold * 100 + fold_rows)
+def test_random_windows(spark, group_by, threshold, window, cooldown, chain_rows):
+    rng = random.Random(threshold * 100 + chain_rows)
     rows = random_events(rng, 400, 900)
     rule = Rule("r", all=[Predicate("level", "gte", "ERROR")], group_by=group_by, threshold=threshold, window=window, cooldown=cooldown)
-    run = detect(events_of(spark, rows), [rule, Rule("off", enabled=False)], fold_rows=fold_rows)
+    run = detect(events_of(spark, rows), [rule, Rule("off", enabled=False)], chain_rows=chain_rows)
     want, suppressed = walk(rows, rule, ("ERROR", "FATAL"))
     found = detected_incidents(run, NOW).collect()
     assert sorted((row["group"], tuple(row["event_ids"])) for row in found) == want
@@ -170,6 +170,80 @@ def test_reconcile_random(spark):
     assert {row["id"]: row["count"] for row in again.collect()} == once
 
 
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_merge_ranges_equals_marking(spark, partitions):
+    """Hot and thin keys: the union covers what the ranges cover, and its ranges do not touch."""
+    rng = random.Random(int(partitions))
+    rows = []
+    for key, count in (("hot", 300), ("thin", 3), ("one", 1)):
+        for _ in range(count):
+            low = rng.randint(0, 900)
+            rows.append((key, low, low + rng.choice([0, 0, 3, 40])))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = merge_ranges(spark.createDataFrame(rows, "k string, lo long, hi long"), ["k"], "lo", "hi").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(row["merged"] for row in got) == len(rows)
+    for key in ("hot", "thin", "one"):
+        marked = {at for k, low, high in rows if k == key for at in range(low, high + 1)}
+        union = sorted((row["lo"], row["hi"]) for row in got if row["k"] == key)
+        assert sorted(at for low, high in union for at in range(low, high + 1)) == sorted(marked)
+        assert all(high < low for (_, high), (low, _) in zip(union, union[1:]))
+    assert merge_ranges(spark.createDataFrame([], "k string, lo long, hi long"), ["k"], "lo", "hi").collect() == []
+
+
+def test_every_covered_event_is_met_once(spark):
+    """Without cooldown windows overlap heavily; their union still has each row once."""
+    rng = random.Random(21)
+    rows = random_events(rng, 500, 600, sources=2)
+    rule = Rule("r", all=[Predicate("level", "gte", "ERROR")], group_by=["source"], threshold=3, window="40s", cooldown="0s")
+    run = detect(events_of(spark, rows), [rule])
+    want, _ = walk(rows, rule, ("ERROR", "FATAL"))
+    got = covered_events(run).select("grp", "id").collect()
+    assert len(got) == len(set(got)) < sum(len(ids) for _, ids in want)
+    assert set(map(tuple, got)) == {(group, i) for group, ids in want for i in ids}
+    assert fired_ranges(run).agg(F.sum("merged")).first()[0] == len(want)
+
+
+@pytest.mark.parametrize("idempotent", [False, True])
+def test_news_of_a_run_equal_its_rows(spark, idempotent):
+    """Two runs over the same store: merged ranges give the incidents that listing every window gives."""
+    rng = random.Random(33)
+    rows = random_events(rng, 300, 900)
+    rules = [
+        Rule("flood", all=[Predicate("level", "gte", "ERROR")], group_by=["source"], threshold=2, window="30s", cooldown="0s"),
+        Rule("calm", all=[Predicate("level", "gte", "ERROR")], threshold=4, window="30s", cooldown="90s", resolve_after="1h", labels={"a": "b"}),
+    ]
+    events = events_of(spark, rows)
+    half = events.filter(F.col("timestamp") < F.lit(T0 + timedelta(seconds=450)))
+    empty = spark.createDataFrame([], schemas.ddl(schemas.INCIDENTS))
+    shape = lambda table: sorted(str(row.asDict(recursive=True)) for row in table.collect())
+    first, second = detect(half, rules), detect(events, rules)
+    old = reconcile(empty, detected_incidents(first, NOW), rules, NOW, idempotent)
+    assert shape(reconcile(empty, news_of_run(first, NOW), rules, NOW, idempotent)) == shape(old)
+    later = NOW + timedelta(hours=3)
+    by_rows = reconcile(old, detected_incidents(second, later), rules, later, idempotent)
+    assert shape(reconcile(old, news_of_run(second, later), rules, later, idempotent)) == shape(by_rows)
+    links = merged_links(old, news_of_rows(detected_incidents(second, later)))
+    assert sorted(map(tuple, links.collect())) == sorted((r["rule_id"], r["group"], i) for r in by_rows.collect() for i in r["event_ids"])
+
+
+def test_long_chain_crosses_many_blocks(spark):
+    """One group of 3,000 candidates in blocks of 16 ranks: the chain is that of a plain walk."""
+    rng = random.Random(4)
+    rows = [(f"e{k:05d}", at, "ERROR", "s") for k, at in enumerate(sorted(rng.randint(0, 9000) for _ in range(3000)))]
+    rule = Rule("r", all=[Predicate("level", "gte", "ERROR")], threshold=1, window="0s", cooldown="25s")
+    fired = [row["id"] for row in detect(events_of(spark, rows), [rule], chain_rows=16).fired.collect()]
+    want, last = [], None
+    for event, at, _, _ in rows:
+        if last is None or at - last >= 25:
+            want.append(event)
+            last = at
+    assert sorted(fired) == want
+
+
 def test_lifecycle(spark):
     rows = spark.createDataFrame([incident("k", 0, 1)], schemas.ddl(schemas.INCIDENTS))
     (one,) = rows.collect()

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,22 +14,22 @@ from timberflow import schemas
 from timberflow.functions.hashing import incident_fingerprint, stable_id
 from timberflow.functions.levels import LEVELS, level_ordinal_of
 from timberflow.functions.times import floor_div, instant, rfc3339
-from timberflow.operators.positions import rank_and_before
+from timberflow.operators.positions import merge_ranges, rank_and_before
 from timberflow.operators.predicates import match_rules
 from timberflow.session import materialize
 from timberflow.settings import Rule, check_rules, enabled_rules
 
 KEYS = ["rule_id", "grp"]
 
-# Candidates of one group folded in one task; larger groups are followed by pointer doubling instead.
-FOLD_ROWS = 1_000_000
-
-# Large groups whose keys are sent to all tasks; with more of them the join is left to Spark.
-BROADCAST_GROUPS = 100_000
+# Candidates of one group that one task follows through cooldown.
+CHAIN_ROWS = 65_536
 
 # Rows of one group per block when windows are matched with their rows.
 BLOCK_ROWS = 4096
 
+# Rows of one group whose ids and fingerprints are kept side by side, to be cut out for each window.
+SLICE_ROWS = 64
+
 
 def per_rule(rules: Sequence[Rule], value, kind: str) -> Column:
     """Literal lookup of a rule setting by the row's rule id."""
@@ -75,71 +74,90 @@ def sliding_counts(matched: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return ranked.withColumn("lo", lo).withColumn("cnt", F.col("rn") - F.col("lo") + 1).drop("before")
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Candidates of one group that fire: the first, then always the next one a cooldown later."""
-    pdf = pdf.sort_values(["us", "nanos", "rn"], kind="stable")
-    us, nanos = pdf["us"].to_numpy(), pdf["nanos"].to_numpy()
-    cooldown = int(pdf["cooldown"].iloc[0])
-    keep, at = [], 0
-    while at < len(us):
-        keep.append(at)
-        total = int(nanos[at]) + cooldown
-        next_us, next_nanos = int(us[at]) + total // 1000, total % 1000
-        low, high = np.searchsorted(us, next_us, "left"), np.searchsorted(us, next_us, "right")
-        at = int(low + np.searchsorted(nanos[low:high], next_nanos, "left"))
-    return pdf.iloc[keep][["_row"]]
+def _follow(nodes: pd.DataFrame, entry: int) -> tuple[list[int], int]:
+    """Places of the rows that fire in one block from the given rank on, and the rank at which the chain leaves it."""
+    base, after = int(nodes["rn"].iloc[0]), nodes["next"].to_numpy()
+    fired, at = [], entry - base
+    while at < len(after):
+        fired.append(at)
+        at = int(after[at]) - base
+    return fired, at + base
+
+
+def _hops(nodes: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+    """For each rank at which a chain may enter the block: the rank at which it leaves it."""
+    nodes = nodes.sort_values("rn", ignore_index=True)
+    base, last = (int(nodes["rn"].iloc[0]), int(nodes["rn"].iloc[-1])) if len(nodes) else (1, 0)
+    entries = entries[(entries["rn"] >= base) & (entries["rn"] <= last)]
+    leaves = nodes["next"].to_numpy().copy()
+    for k in range(len(leaves) - 1, -1, -1):
+        if leaves[k] <= last:
+            leaves[k] = leaves[leaves[k] - base]
+    return entries[[*KEYS, "rn"]].assign(next=leaves[entries["rn"].to_numpy() - base])
 
 
-def _chase(candidates: DataFrame, cooldown: Column) -> DataFrame:
-    """Rows that fire in groups too large for one task.
+def _walk(nodes: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+    """Rows of the block that fire; a chain enters a block at most once."""
+    if not len(entries) or not len(nodes):
+        return pd.DataFrame({"_row": pd.Series([], dtype="int64")})
+    nodes = nodes.sort_values("rn", ignore_index=True)
+    return nodes.iloc[_follow(nodes, int(entries["rn"].iloc[0]))[0]][["_row"]]
 
-    Every candidate points to the first one a cooldown later.  Joining the pointers with themselves doubles
-    the step, so the chain from each group's first candidate is known after log2(length) rounds.
+
+def _entries(nodes: DataFrame, starts: DataFrame, block) -> DataFrame:
+    """Where each group's chain enters its blocks, beside the start.
+
+    Only ranks that a row of an earlier block points to can be entered, and only they get a hop over their block; hops are
+    followed with doubled reach, so the rounds are the logarithm of the number of blocks of the largest group.
     """
-    ranked = rank_and_before(candidates.drop("rn"), KEYS, cooldown, "_row")
-    nodes = ranked.select(*KEYS, "_row", "rn", (F.col("before") + 1).alias("next"))
-    nodes = materialize(nodes)
-    step = nodes.select(*KEYS, "rn", "next")
-    reached = nodes.filter("rn = 1").select(*KEYS, "rn")
-    known = reached.count()
+    crossing = nodes.filter(block("next") > block("rn")).select(*KEYS, F.col("next").alias("rn")).distinct()
+    entries = materialize(crossing)
+    if entries.isEmpty():
+        return starts
+    entries = entries.unionByName(starts).distinct()
+    grouped = lambda df: df.withColumn("_block", block("rn")).groupBy(*KEYS, "_block")
+    hop = "rule_id string, grp string, rn long, next long"
+    hops = materialize(grouped(nodes).cogroup(grouped(entries)).applyInPandas(_hops, hop))
+    reached, step, known = starts, hops, -1
     while True:
         moved = reached.join(step, [*KEYS, "rn"]).select(*KEYS, F.col("next").alias("rn"))
-        # A pointer past the end of the group has no row and drops out here.
-        reached = materialize(reached.union(moved).distinct().join(nodes.select(*KEYS, "rn"), [*KEYS, "rn"]))
+        # A pointer past the end of the group has no hop and drops out here.
+        reached = materialize(reached.unionByName(moved).distinct().join(hops.select(*KEYS, "rn"), [*KEYS, "rn"], "left_semi"))
         total = reached.count()
         if total == known:
-            break
+            return reached
         known = total
         targets = step.select(*KEYS, F.col("rn").alias("next"), F.col("next").alias("_after"))
         step = materialize(step.join(targets, [*KEYS, "next"]).select(*KEYS, "rn", F.col("_after").alias("next")))
-    return nodes.join(reached, [*KEYS, "rn"], "left_semi").select("_row")
 
 
-def fired_rows(candidates: DataFrame, rules: Sequence[Rule], fold_rows: int = FOLD_ROWS) -> DataFrame:
-    """Candidates left after cooldown: none fired before in the group, or at least a cooldown ago."""
+def fired_rows(candidates: DataFrame, rules: Sequence[Rule], chain_rows: int = CHAIN_ROWS) -> DataFrame:
+    """Candidates left after cooldown: none fired before in the group, or at least a cooldown ago.
+
+    Every candidate points to the first one a cooldown later.  The chain from a group's first candidate is followed in blocks
+    of ``chain_rows`` ranks, all at once: first the hop over each block from every rank at which it can be entered, then the
+    blocks that a chain enters, then its rows in them.  Groups of all sizes take this way.
+    """
     if not rules:
         return candidates
     cooldown = per_rule(rules, lambda rule: rule.cooldown_nanos, "bigint")
     always = candidates.filter(cooldown <= 0)
-    slim = candidates.filter(cooldown > 0).select(*KEYS, "us", "nanos", "id", "rn", "_row")
-    sizes = slim.groupBy(*KEYS).agg(F.count("*").alias("_size"))
-    large = materialize(sizes.filter(F.col("_size") > fold_rows).select(*KEYS))
-    count = large.count()
-    if count <= BROADCAST_GROUPS:
-        large = F.broadcast(large)
-    small = slim.join(large, KEYS, "left_anti") if count else slim
-    folded = small.withColumn("cooldown", cooldown).groupBy(*KEYS).applyInPandas(_fold, "_row bigint")
-    if count:
-        folded = folded.union(_chase(slim.join(large, KEYS, "left_semi"), cooldown))
-    return always.unionByName(candidates.join(folded, "_row", "left_semi"))
-
-
-def detect(events: DataFrame, rules: Sequence[Rule], fold_rows: int = FOLD_ROWS) -> Detection:
+    slim = candidates.filter(cooldown > 0).select(*KEYS, "us", "nanos", "id", "_row")
+    ranked = rank_and_before(slim, KEYS, cooldown, "_row")
+    nodes = materialize(ranked.select(*KEYS, "_row", "rn", (F.col("before") + 1).alias("next")))
+    block = lambda rank: floor_div(F.col(rank) - 1, chain_rows)
+    starts = nodes.filter("rn = 1").select(*KEYS, "rn")
+    grouped = lambda df: df.withColumn("_block", block("rn")).groupBy(*KEYS, "_block")
+    entered = grouped(nodes).cogroup(grouped(_entries(nodes, starts, block)))
+    return always.unionByName(candidates.join(entered.applyInPandas(_walk, "_row bigint"), "_row", "left_semi"))
+
+
+def detect(events: DataFrame, rules: Sequence[Rule], chain_rows: int = CHAIN_ROWS) -> Detection:
     active = enabled_rules(rules)
     counted = materialize(sliding_counts(matched_rows(events, active), active))
     threshold = per_rule(active, lambda rule: rule.threshold, "bigint") if active else F.lit(1)
     candidates = counted.filter(F.col("cnt") >= threshold)
-    fired = materialize(fired_rows(candidates, active, fold_rows))
+    fired = materialize(fired_rows(candidates, active, chain_rows))
     return Detection(check_rules(rules), events, counted, candidates, fired)
 
 
@@ -160,24 +178,60 @@ def detection_events(run: Detection) -> DataFrame:
     return windows.join(rows, [*KEYS, "_block"]).filter(F.col("rn").between(F.col("lo"), F.col("hi"))).drop("_block")
 
 
+def fired_ranges(run: Detection) -> DataFrame:
+    """The ranks that fired windows cover: disjoint ranges ``lo`` .. ``rn`` per key, however much the windows overlap."""
+    return merge_ranges(run.fired, KEYS, "lo", "rn")
+
+
+def covered_events(run: Detection) -> DataFrame:
+    """The rows that some fired window holds, each once.
+
+    Ranges and rows meet on blocks of ranks; as ranges do not overlap, a row meets one at most that holds it.
+    """
+    block = lambda rank: floor_div(rank, BLOCK_ROWS)
+    ranges = fired_ranges(run).select(
+        *KEYS, "lo", F.col("rn").alias("hi"), F.explode(F.sequence(block(F.col("lo")), block(F.col("rn")))).alias("_block")
+    )
+    rows = run.counted.select(*KEYS, "rn", "us", "nanos", "id", "fingerprint", block(F.col("rn")).alias("_block"))
+    return rows.join(ranges, [*KEYS, "_block"]).filter(F.col("rn").between(F.col("lo"), F.col("hi"))).drop("_block", "lo", "hi")
+
+
+def first_fired(run: Detection) -> Detection:
+    """The same run with only the first fired window of each key."""
+    first = run.fired.groupBy(*KEYS).agg(F.min("rn").alias("rn"))
+    return replace(run, fired=run.fired.join(first, [*KEYS, "rn"], "left_semi"))
+
+
+def _windows(run: Detection) -> DataFrame:
+    """Per fired window: first and last moment, count, event ids and fingerprints.
+
+    Rows are laid side by side in slices of ranks, and each window cuts its part out of the slices it touches.
+    """
+    block = lambda rank: floor_div(rank, SLICE_ROWS)
+    member = F.struct("rn", "us", "nanos", "id", "fingerprint")
+    slices = run.counted.withColumn("_block", block(F.col("rn"))).groupBy(*KEYS, "_block").agg(F.sort_array(F.collect_list(member)).alias("members"))
+    windows = run.fired.select(
+        *KEYS, F.col("_row").alias("fired_row"), "lo", F.col("rn").alias("hi"), F.explode(F.sequence(block(F.col("lo")), block(F.col("rn")))).alias("_block")
+    )
+    inside = F.filter("members", lambda row: row["rn"].between(F.col("lo"), F.col("hi")))
+    parts = windows.join(slices, [*KEYS, "_block"]).select(*KEYS, "fired_row", "hi", inside.alias("members"))
+    moment = lambda row: F.struct(row["us"].alias("us"), row["nanos"].alias("nanos"))
+    return parts.groupBy(*KEYS, "fired_row").agg(
+        F.min(moment(F.col("members")[0])).alias("first"),
+        F.max(moment(F.element_at("members", -1))).alias("last"),
+        F.sum(F.size("members")).alias("count"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.col("members.id"))))).alias("event_ids"),
+        F.flatten(F.collect_list(F.col("members.fingerprint"))).alias("fingerprints"),
+        F.max("hi").alias("fired_rn"),
+    )
+
+
 def detected_incidents(run: Detection, now: datetime) -> DataFrame:
     """One new incident row per fired window (columns of the incidents table plus ``fired_row`` order)."""
     active = enabled_rules(run.rules)
     if not active:
         return run.events.sparkSession.createDataFrame([], schemas.ddl(schemas.INCIDENTS) + ", fired_rn bigint")
-    moment = F.struct("us", "nanos")
-    windows = (
-        detection_events(run)
-        .groupBy(*KEYS, "fired_row")
-        .agg(
-            F.min(moment).alias("first"),
-            F.max(moment).alias("last"),
-            F.count("*").alias("count"),
-            F.sort_array(F.collect_set("id")).alias("event_ids"),
-            F.collect_list("fingerprint").alias("fingerprints"),
-            F.max("hi").alias("fired_rn"),
-        )
-    )
+    windows = _windows(run)
     first_seen = F.timestamp_micros("first.us")
     at = instant(now)
     reason = lambda rule: f"threshold {rule.threshold} reached in {rule.window}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from timberflow import schemas
 from timberflow.functions.times import instant
-from timberflow.operators.detection import per_rule
+from timberflow.operators.detection import Detection, covered_events, detected_incidents, first_fired, per_rule
+from timberflow.session import materialize
 from timberflow.settings import Rule
 
 # States and the reasons history shows.
@@ -19,6 +21,7 @@ RESUMED = "matching activity resumed"
 QUIET = "no matching activity during resolve interval"
 
 _COLUMNS = list(schemas.INCIDENTS)
+_SLIM = [name for name in _COLUMNS if name != "event_ids"]
 _KEY = ["rule_id", "group"]
 
 
@@ -62,22 +65,67 @@ def transition(incidents: DataFrame, updates: DataFrame) -> DataFrame:
     return changed.select(*incidents.columns, "refused")
 
 
-def _detections_per_key(detected: DataFrame) -> DataFrame:
-    """One row per (rule, group): the first detection in time plus the sums over all of them."""
-    base = F.min_by(F.struct(*_COLUMNS), "fired_rn")
-    return detected.groupBy(*_KEY).agg(
+@dataclass
+class News:
+    """What a detection run found, per key (rule, group).
+
+    ``keys`` has one row per key: ``n`` detections, the first of them as ``base`` (an incident without event ids), ``min_first``,
+    ``max_last`` and ``total``, the sum of their counts.  ``links`` has the events of each key, every one once.
+    """
+
+    keys: DataFrame
+    links: DataFrame
+
+
+def news_of_rows(detected: DataFrame) -> News:
+    """News in detected incident rows (columns of the incidents table and ``fired_rn``)."""
+    base = F.min_by(F.struct(*_SLIM), "fired_rn")
+    keys = detected.groupBy(*_KEY).agg(
         F.count("*").alias("n"),
         base.alias("base"),
         F.min("first_seen").alias("min_first"),
         F.max("last_seen").alias("max_last"),
         F.sum("count").alias("total"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("event_ids")))).alias("ids"),
     )
+    return News(keys, detected.select(*_KEY, F.explode("event_ids").alias("event_id")).distinct())
+
+
+def news_of_run(run: Detection, now: datetime) -> News:
+    """News straight from a run's fired windows.
+
+    Only the first window of a key is made an incident row.  Overlapping windows are merged as ranges of ranks before any
+    event is looked up, so every event of a key is met once, whatever the number of windows that hold it.
+    """
+    group = F.col("grp").alias("group")
+    covered = covered_events(run).select("rule_id", group, "us", "id")
+    spans = covered.groupBy(*_KEY).agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+    counts = run.fired.groupBy("rule_id", group).agg(F.count("*").alias("n"), F.sum("cnt").alias("total"))
+    first = detected_incidents(first_fired(run), now).select(*_KEY, F.struct(*_SLIM).alias("base"))
+    keys = counts.join(spans, _KEY).join(first, _KEY)
+    keys = keys.select(
+        *_KEY, "n", "base", F.timestamp_micros("first_us").alias("min_first"), F.timestamp_micros("last_us").alias("max_last"), "total"
+    )
+    return News(materialize(keys), materialize(covered.select(*_KEY, F.col("id").alias("event_id")).distinct()))
+
+
+def _targets(existing: DataFrame) -> DataFrame:
+    """The last existing incident of each key in (first_seen, id) order."""
+    return existing.groupBy(*_KEY).agg(F.max_by("id", F.struct("first_seen", "id")).alias("target_id"))
+
+
+def merged_links(existing: DataFrame, news: News) -> DataFrame:
+    """(``rule_id``, ``group``, ``event_id``): all events of the incident that a key's news go to, each once.
+
+    The relation behind the lists in incident rows; it has no row that grows with a key.
+    """
+    touched = existing.join(news.keys.select(*_KEY), _KEY, "left_semi")
+    old = touched.join(_targets(touched).select(F.col("target_id").alias("id")), "id", "left_semi")
+    return old.select(*_KEY, F.explode("event_ids").alias("event_id")).unionByName(news.links).distinct()
 
 
 def reconcile(
     existing: DataFrame,
-    detected: DataFrame,
+    detected: DataFrame | News,
     rules: Sequence[Rule],
     now: datetime,
     idempotent: bool = False,
@@ -88,12 +136,16 @@ def reconcile(
     one new incident.  Incidents of keys without activity resolve once they are quiet for long enough.  A
     resolved incident reopens on new activity.  With ``idempotent`` the count is the number of distinct events,
     so that a second run over the same events changes nothing; otherwise counts add up.
+
+    ``detected`` is a table of detected incident rows, or the news of a run (:func:`news_of_run`), which do not
+    list the events of every window first.  Event lists are gathered last, once for each incident that changes.
     """
     at = instant(now)
-    news = _detections_per_key(detected)
-    newest = existing.groupBy(*_KEY).agg(F.max_by("id", F.struct("first_seen", "id")).alias("target_id"))
-    # One row per key on both sides: the wide tables meet only this table.
-    keyed = newest.join(news, _KEY, "full_outer")
+    news = detected if isinstance(detected, News) else news_of_rows(detected)
+    lists = merged_links(existing, news).groupBy(*_KEY).agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
+    # One row per key on all sides: the wide tables meet only this table.
+    keyed = _targets(existing).join(news.keys.join(lists, _KEY, "left"), _KEY, "full_outer")
+    ids = F.coalesce("ids", F.array().cast("array<string>"))
     rows = existing.join(keyed, _KEY, "left")
     merges = F.coalesce((F.col("id") == F.col("target_id")) & F.col("n").isNotNull(), F.lit(False))
 
@@ -101,13 +153,12 @@ def reconcile(
     entry = F.struct(
         at.alias("at"), F.col("status").alias("from"), F.lit("open").alias("to"), F.lit(RESUMED).alias("reason")
     )
-    union_ids = F.sort_array(F.array_union("event_ids", "ids"))
-    total = F.size(union_ids).cast("bigint") if idempotent else F.col("count") + F.col("total")
+    total = F.size(ids).cast("bigint") if idempotent else F.col("count") + F.col("total")
     merged = {
         "first_seen": F.least("first_seen", "min_first"),
         "last_seen": F.greatest("last_seen", "max_last"),
         "count": total,
-        "event_ids": union_ids,
+        "event_ids": ids,
         "updated_at": at,
     }
     changes = {name: F.when(merges, value).otherwise(F.col(name)) for name, value in merged.items()}
@@ -120,10 +171,11 @@ def reconcile(
     created = {
         "first_seen": F.col("min_first"),
         "last_seen": F.col("max_last"),
-        "count": F.size("ids").cast("bigint") if idempotent else F.col("total"),
-        "event_ids": F.col("ids"),
+        "count": F.size(ids).cast("bigint") if idempotent else F.col("total"),
+        "event_ids": ids,
     }
-    fresh = fresh.select(*[created.get(name, F.col(f"base.{name}")).alias(name) for name in _COLUMNS])
+    value = lambda name: created[name] if name in created else F.col(f"base.{name}")
+    fresh = fresh.select(*[value(name).alias(name) for name in _COLUMNS])
     return kept.select(*_COLUMNS).unionByName(fresh)
 
 

@@ -69,3 +69,24 @@ def rank_and_before(
     real = counted.filter("_real = 1").withColumn("rn", F.col("_upto"))
     before = counted.filter("_real = 0").select(row, F.col("_upto").alias("before"))
     return real.join(before, row).drop("_part", "_seq", "_real", "_local", "_carry", "_upto")
+
+
+def merge_ranges(df: DataFrame, keys: Sequence[str], low: str, high: str) -> DataFrame:
+    """Union of the closed integer ranges of each key: disjoint ranges ``low`` .. ``high`` and ``merged``, how many went into each.
+
+    In the order of their lower ends a range begins a new one where it lies above the largest upper end so far.  That running
+    maximum, and then the running number of beginnings, are local to a range partition plus what earlier partitions carry over.
+    """
+    keys = list(keys)
+    ranged = _ranged(df.select(*keys, low, high), [*keys, low, high])
+    local = Window.partitionBy("_part", *keys).orderBy("_seq")
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    tops = ranged.groupBy("_part", *keys).agg(F.max(high).alias("_top")).withColumn("_carry", F.max("_top").over(earlier)).drop("_top")
+    before = F.greatest(F.max(high).over(local.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carry"))
+    begun = ranged.join(tops, ["_part", *keys]).withColumn("_begins", F.coalesce(F.col(low) > before, F.lit(True)).cast("int"))
+    counts = begun.groupBy("_part", *keys).agg(F.sum("_begins").alias("_n"))
+    counts = counts.withColumn("_earlier", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    running = F.sum("_begins").over(local.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = begun.join(counts, ["_part", *keys]).withColumn("_union", running + F.col("_earlier"))
+    union = numbered.groupBy(*keys, "_union").agg(F.min(low).alias(low), F.max(high).alias(high), F.count("*").alias("merged"))
+    return union.drop("_union")

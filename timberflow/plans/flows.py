@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from timberflow import schemas
 from timberflow.functions.times import instant
 from timberflow.operators import aggregates, dedup, integrity, quality, reports, retention, sinks
-from timberflow.operators.detection import detect, detected_incidents, evaluations
-from timberflow.operators.incidents import reconcile
+from timberflow.operators.detection import detect, evaluations
+from timberflow.operators.incidents import news_of_run, reconcile
 from timberflow.operators.snapshots import check_name
 from timberflow.session import prepare
 from timberflow.settings import LogSource, Retention, Rule
@@ -119,7 +119,7 @@ def run_ingest(store: Store, sources: Sequence[LogSource], now: datetime, names:
 def run_detect(store: Store, rules: Sequence[Rule], now: datetime, idempotent: bool = False) -> DataFrame:
     """Detect over all stored events, merge with the stored incidents, and return the counters per rule."""
     run = detect(store.events(), rules)
-    merged = reconcile(store.incidents(), detected_incidents(run, now), rules, now, idempotent)
+    merged = reconcile(store.incidents(), news_of_run(run, now), rules, now, idempotent)
     store.commit("detect", f"rules={len(rules)}", now, incidents=merged)
     return evaluations(run)
 

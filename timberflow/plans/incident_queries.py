@@ -7,12 +7,13 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timberflow import schemas
 from timberflow.operators import dedup, filters, incidents, quality, reports, retention
 from timberflow.operators.detection import detect, detected_incidents, evaluations
 from timberflow.plans import adapter
 from timberflow.plans.catalog import query
 from timberflow.plans.oracle import EV, EVH, detection_ctes, rfc3339
-from timberflow.session import scratch_path
+from timberflow.session import materialize, scratch_path
 from timberflow.settings import Predicate, Retention, Rule
 
 NOW = adapter.NOW
@@ -53,7 +54,7 @@ RULES = [
     Rule("switched-off", enabled=False),
 ]
 
-# Without a cooldown every full window fires, so windows overlap and ids repeat: for the detection queries only.
+# Without a cooldown every full window fires, so windows overlap and ids repeat.
 FLOOD = Rule(
     "crit-flood", all=[Predicate("level", "eq", "fatal")], group_by=["source"], threshold=2, window="12h", cooldown="0s"
 )
@@ -173,7 +174,8 @@ def _shown(rows: DataFrame) -> DataFrame:
 
 
 _OPENED = """CASE rule_id WHEN 'error-burst' THEN '>open:threshold 5 reached in 12h'
-    WHEN 'purchase-surge' THEN '>open:threshold 20 reached in 6h' ELSE '>open:threshold 4 reached in 6h' END"""
+    WHEN 'purchase-surge' THEN '>open:threshold 20 reached in 6h'
+    WHEN 'crit-flood' THEN '>open:threshold 2 reached in 12h' ELSE '>open:threshold 4 reached in 6h' END"""
 
 
 def _asked(rows: DataFrame) -> DataFrame:
@@ -236,19 +238,19 @@ def inc_auto_resolve(spark, folder):
     return _shown(incidents.auto_resolve(stored_incidents(spark, folder), RULES, NOW))
 
 
-_SECOND_RUN = [rule for rule in RULES if rule.id != "purchase-surge"]
+_FIRST_RUN = [*RULES, FLOOD]
+_SECOND_RUN = [rule for rule in _FIRST_RUN if rule.id != "purchase-surge"]
 
 
 def _reconciled(spark: SparkSession, folder: str, idempotent: bool = False) -> DataFrame:
     """Incidents of the first half of the month, changed by hand, then merged with a run over the whole month."""
     events = adapter.hourly_events(spark, folder)
-    early = detect(events.filter(F.col("timestamp") < F.lit("2024-01-16").cast("timestamp")), RULES)
-    none = detected_incidents(early, HALF)
-    empty = none.drop("fired_rn").limit(0)
-    old = incidents.reconcile(empty, none, RULES, HALF)
-    old = incidents.transition(old, _asked(old)).drop("refused")
-    again = detected_incidents(detect(events, _SECOND_RUN), NOW)
-    return incidents.reconcile(old, again, RULES, NOW, idempotent)
+    early = detect(events.filter(F.col("timestamp") < F.lit("2024-01-16").cast("timestamp")), _FIRST_RUN)
+    empty = spark.createDataFrame([], schemas.ddl(schemas.INCIDENTS))
+    old = incidents.reconcile(empty, incidents.news_of_run(early, HALF), _FIRST_RUN, HALF)
+    old = materialize(incidents.transition(old, _asked(old)).drop("refused"))
+    again = incidents.news_of_run(detect(events, _SECOND_RUN), NOW)
+    return incidents.reconcile(old, again, _FIRST_RUN, NOW, idempotent)
 
 
 _PER_KEY = """SELECT rule_id, grp, count(*) AS dets, min_by(id, fired_rn) AS id, min(first_seen) AS first_seen,
@@ -258,9 +260,9 @@ _PER_KEY = """SELECT rule_id, grp, count(*) AS dets, min_by(id, fired_rn) AS id,
 _RECONCILE_CTES = (
     EVH.replace("WITH ", "WITH RECURSIVE ", 1)
     + ", early AS (SELECT * FROM evh WHERE ts < '2024-01-16'),"
-    + detection_ctes(_SQL_RULES, "early", "a_")
+    + detection_ctes([*_SQL_RULES, _SQL_FLOOD], "early", "a_")
     + ","
-    + detection_ctes([rule for rule in _SQL_RULES if rule["id"] != "purchase-surge"], "evh", "b_")
+    + detection_ctes([rule for rule in [*_SQL_RULES, _SQL_FLOOD] if rule["id"] != "purchase-surge"], "evh", "b_")
     + f""",
 old AS (
   SELECT *, CASE source WHEN 'svc-1' THEN 'acknowledged' WHEN 'svc-2' THEN 'resolved' WHEN 'svc-3' THEN 'resolved'
@@ -282,7 +284,7 @@ judged AS (
   SELECT *, status = 'resolved' AND active AND (TIMESTAMP '2024-01-31' >= old_at OR dets >= 2) AS reopens,
     NOT active AND status <> 'resolved' AND TIMESTAMP '2024-01-31' >= old_at
       AND date_diff('second', last_seen, TIMESTAMP '2024-01-31') >=
-        CASE rule_id WHEN 'signup-run' THEN 172800 ELSE 259200 END AS resolves
+        CASE rule_id WHEN 'signup-run' THEN 172800 WHEN 'crit-flood' THEN 100000000000 ELSE 259200 END AS resolves
   FROM both_)
 SELECT id, rule_id, grp AS "group",
   CASE WHEN created OR reopens THEN 'open' WHEN resolves THEN 'resolved' ELSE status END AS status,
