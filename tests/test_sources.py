@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timberflow.settings import LogSource, Multiline
+from timberflow.sources import csv_records
 from timberflow.sources.csv_records import check_headers, split_records
 from timberflow.sources.ingest import ingest, merged_stats, tagged_source
 from timberflow.sources.lines import read_lines, scan_lines
@@ -252,3 +253,40 @@ def test_csv_records_random(spark, tmp_path, small_blocks):
             else:
                 assert row.text == expected
                 assert row.fields == next(csv.reader(io.StringIO(expected), strict=True))
+
+
+def test_csv_record_over_many_blocks(spark, tmp_path, small_blocks):
+    """A quoted field over dozens of blocks, one that never closes, and a header with line breaks in quotes."""
+    header = '"a\n' + "x\n" * 200 + '",b\n'
+    text = header + "1,2\n" + '"' + "line\n" * 300 + '",3\n4,5\n6,"' + "lost\n" * 50
+    path = write(tmp_path, "long.csv", text)
+    got = split_records(scan_lines(spark, path)).orderBy("rec").collect()
+    assert [row.text for row in got] == [header[:-1], "1,2", '"' + "line\n" * 300 + '",3', "4,5", None]
+    assert csv_records.read_headers(spark, path) == ["a\n" + "x\n" * 199 + "x", "b"]
+    with pytest.raises(ValueError, match="header"):
+        csv_records.read_headers(spark, write(tmp_path, "open.csv", '"a\n' + "x\n" * 200))
+
+
+def test_text_is_not_shuffled(spark, tmp_path):
+    """Whole records come straight from the scan; exchanges of text stand only above the parts that stick out of a block."""
+    csv_path = write(tmp_path, "a.csv", 'a,b\n1,"x\ny"\n')
+    lines_path = write(tmp_path, "a.txt", "{a\n b\n{c\n")
+    for df in (split_records(scan_lines(spark, csv_path)), assemble_multiline(scan_lines(spark, lines_path), Multiline(enabled=True))):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        whole = plan.split("\n")
+        first = next(k for k, line in enumerate(whole) if "MapInArrow" in line)
+        aggregates = [k for k, line in enumerate(whole) if "Aggregate" in line]
+        assert aggregates and min(aggregates) > first  # the branch of whole records has no aggregate above it
+        assert "Window" not in plan and "Sort [" not in plan
+
+
+def test_multiline_without_starts_and_long_lines(spark, tmp_path, small_blocks):
+    lines = [f"more {k}" for k in range(100)]
+    path = write(tmp_path, "a.txt", "\n".join(lines))
+    got = assemble_multiline(scan_lines(spark, path), Multiline(enabled=True, max_lines=7)).orderBy("line").collect()
+    assert [(row.line, row.text, row.overflow is not None) for row in got] == plain_multiline(lines, False, 7)
+    assert [row.joined for row in got] == [0] * 14 + [1]
+    text = record() + "\n" + record(message="x" * 300) + "\n" + record()
+    found = rows(spark, tmp_path, text, max_line_bytes=200)
+    assert [row["reason"] for row in found] == [None, "line too long", None] and found[1]["raw"] == text.split("\n")[1]
+    assert [row["reason"] for row in rows(spark, tmp_path, text, max_line_bytes=0)] == [None] * 3

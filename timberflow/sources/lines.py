@@ -6,12 +6,18 @@ last seen values) is computed inside each block and completed with one carried v
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from timberflow.session import materialize
+
 BLOCK = ["file", "block"]
 
-# Rows of the per-block table up to which it is sent to all tasks (about 200 bytes each); beyond, it is shuffled.
+# Rows of the per-block table up to which it is sent to all tasks (about 200 bytes each); beyond, Spark picks the join.
 BROADCAST_BLOCKS = 200_000
 
 
@@ -35,19 +41,31 @@ def scan_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def join_blocks(lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Lines with the values carried into their block."""
-    # A partition packs blocks up to the split size, so there are at most this many blocks.
-    bound = len(lines.inputFiles()) + lines.rdd.getNumPartitions()
-    return lines.join(F.broadcast(blocks) if bound <= BROADCAST_BLOCKS else blocks, BLOCK)
+    """Lines with the values carried into their block; ``blocks`` is a materialized table, so its rows are counted, not guessed."""
+    return lines.join(F.broadcast(blocks) if blocks.count() <= BROADCAST_BLOCKS else blocks, BLOCK)
 
 
-def earlier_blocks() -> WindowSpec:
-    return Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+def block_key() -> Column:
+    """Number that tells blocks apart where rows of several blocks follow each other in a task."""
+    return F.xxhash64(*BLOCK)
+
 
+def runs_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """Slices of batches that belong to one block (by column ``key``), and whether the block begins there.
 
-def within_block(inclusive: bool = True) -> WindowSpec:
-    last = 0 if inclusive else -1
-    return Window.partitionBy(*BLOCK).orderBy("seq").rowsBetween(Window.unboundedPreceding, last)
+    A task reads its blocks one after the other, so rows of a block are neighbours, in the order of the file.
+    """
+    last = None
+    for batch in batches:
+        keys = batch.column("key").to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else [0]
+        for begin, end in zip(cuts, cuts[1:]):
+            yield keys[begin] != last, batch.slice(begin, end - begin)
+            last = keys[begin]
+
+
+def earlier_blocks() -> WindowSpec:
+    return Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def number_lines(scanned: DataFrame) -> DataFrame:
@@ -57,7 +75,7 @@ def number_lines(scanned: DataFrame) -> DataFrame:
     """
     blocks = scanned.groupBy(*BLOCK).agg(F.count("*").alias("_lines"), F.min("seq").alias("_first"))
     before = F.coalesce(F.sum("_lines").over(earlier_blocks()), F.lit(0)).alias("_before")
-    numbered = join_blocks(scanned, blocks.select(*BLOCK, "_first", before))
+    numbered = join_blocks(scanned, materialize(blocks.select(*BLOCK, "_first", before)))
     return numbered.select("file", (F.col("_before") + F.col("seq") - F.col("_first") + 1).alias("line"), "text")
 
 
