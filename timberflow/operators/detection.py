@@ -231,9 +231,12 @@ def detected_incidents(run: Detection, now: datetime) -> DataFrame:
     active = enabled_rules(run.rules)
     if not active:
         return run.events.sparkSession.createDataFrame([], schemas.ddl(schemas.INCIDENTS) + ", fired_rn bigint")
-    windows = _windows(run)
+    return incident_columns(_windows(run), active, instant(now))
+
+
+def incident_columns(windows: DataFrame, active: Sequence[Rule], at: Column) -> DataFrame:
+    """Incident rows of windows given by ``first`` and ``last`` moment, count, event ids, fingerprints and ``fired_rn``."""
     first_seen = F.timestamp_micros("first.us")
-    at = instant(now)
     reason = lambda rule: f"threshold {rule.threshold} reached in {rule.window}"
     labels = F.create_map(
         *[

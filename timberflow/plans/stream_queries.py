@@ -103,21 +103,12 @@ def st_detect(spark, folder):
 @query(
     "st_resolve",
     _DET
-    + """, waves AS (SELECT *, CASE WHEN last_seen < '2024-01-11' THEN 0 WHEN last_seen < '2024-01-21' THEN 1 ELSE 2 END AS wave
-      FROM inc),
-    clocks AS (SELECT 0 AS wave, max(ts) AS now FROM evh WHERE ts < '2024-01-11'
-      UNION ALL SELECT 1, max(ts) FROM evh WHERE ts < '2024-01-21' UNION ALL SELECT 2, max(ts) FROM evh),
-    keys AS (SELECT rule_id, grp, min(wave) AS born, sum(n)::BIGINT AS count FROM waves GROUP BY rule_id, grp),
-    seen AS (SELECT k.rule_id, k.grp, c.wave, c.now, k.count, (SELECT max(last_seen) FROM waves w WHERE w.rule_id = k.rule_id
-        AND w.grp = k.grp AND w.wave <= c.wave) AS last_seen,
-      (SELECT count(*) FROM waves w WHERE w.rule_id = k.rule_id AND w.grp = k.grp AND w.wave = c.wave) AS active
-      FROM keys k JOIN clocks c ON c.wave >= k.born)
-    SELECT rule_id, grp AS "group", count, last_seen, CASE WHEN active = 0 AND date_diff('second', last_seen, now) >=
-      CASE rule_id WHEN 'signup-run' THEN 172800 ELSE 259200 END THEN 'resolved' ELSE 'open' END AS status
-    FROM seen WHERE wave = 2""",
+    + """, k AS (SELECT rule_id, grp, sum(n)::BIGINT AS count, max(last_seen) AS last_seen FROM inc GROUP BY rule_id, grp)
+    SELECT rule_id, grp AS "group", count, last_seen, CASE WHEN date_diff('second', last_seen, (SELECT max(ts) FROM evh)) >=
+      CASE rule_id WHEN 'signup-run' THEN 172800 ELSE 259200 END THEN 'resolved' ELSE 'open' END AS status FROM k""",
 )
 def st_resolve(spark, folder):
-    """Incident state after the last wave: quiet incidents resolve by event time."""
+    """Incident state after the last wave: a timer resolves an incident once it has been quiet, by event time."""
     rows = _detector(spark, folder).incidents(spark)
     return rows.select("rule_id", "group", "count", "last_seen", "status")
 
