@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from timberflow import schemas
 from timberflow.operators import dedup, filters, integrity, quality, retention, sinks, snapshots
+from timberflow.operators.versions import Versions
 from timberflow.settings import Retention
 from timberflow.sources.tables import load_events
 
@@ -112,13 +113,43 @@ def test_snapshot_restore_rebuilds_the_index(spark, tmp_path):
     for name in ("", "a/b", "..", "a:b"):
         with pytest.raises(ValueError):
             snapshots.check_name(name)
-    more = events_of(spark, event("a"), event("b", 1))
-    more.write.mode("overwrite").parquet(f"{store}/events")
-    snapshots.rebuild_index(spark, store)
+    versions = Versions(spark, store)
+    snapshots.save_store(events_of(spark, event("a"), event("b", 1)), incidents, store)
+    assert versions.events().count() == versions.index().count() == 2
     snapshots.restore_snapshot(spark, store, "one")
-    events, index = spark.read.parquet(f"{store}/events"), spark.read.parquet(f"{store}/index")
+    events, index = versions.events(), versions.index()
     assert events.count() == 1 and dedup.index_mismatches(events, dedup.positioned_index(index)).count() == 0
-    assert [row["name"] for row in snapshots.list_snapshots(spark, store).collect()] == ["one"]
+    assert [(row["name"], row["generation"]) for row in snapshots.list_snapshots(spark, store).collect()] == [("one", 1)]
+
+
+def test_a_run_that_fails_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    """The second table cannot be written: readers see both old tables, and the next run goes over what is left."""
+    store = str(tmp_path / "store")
+    versions = Versions(spark, store)
+    snapshots.save_store(events_of(spark, event("a")), incident_of(spark, ("1", "open", 0, 1, ["a"])), store)
+    with pytest.raises(ValueError, match="duplicate id"):
+        snapshots.save_store(events_of(spark, event("b")), incident_of(spark, ("2", "open", 0, 1, []), ("2", "open", 0, 1, [])), store)
+    assert [r["id"] for r in versions.events().collect()] == ["a"] and [r["id"] for r in versions.incidents().collect()] == ["1"]
+    assert (tmp_path / "store" / "data" / "generation=2" / "events").exists()
+    snapshots.save_store(events_of(spark, event("c")), incident_of(spark, ("3", "open", 0, 1, [])), store)
+    assert [r["id"] for r in versions.events().collect()] == ["c"] and versions.current()["generation"] == 2
+
+
+def test_cleanup_keeps_what_is_named(spark, tmp_path):
+    store = str(tmp_path / "store")
+    versions = Versions(spark, store)
+    incidents = incident_of(spark, ("1", "open", 0, 1, ["a"]))
+    for k, name in enumerate("abc"):
+        snapshots.save_store(events_of(spark, event(name)), incidents, store)
+        if k == 1:
+            snapshots.create_snapshot(spark, store, "kept", T0)
+    gone = snapshots.cleanup(spark, store)
+    assert {path for path in gone if path.startswith("data/")} == {"data/generation=1/events", "data/generation=1/incidents", "data/generation=1/index", "data/generation=2/index"}
+    assert {path for path in gone if path.startswith(("keys/", "filters/"))} == {"keys/segment=1", "filters/segment=1"}
+    assert [r["id"] for r in versions.events().collect()] == ["c"] and versions.index().count() == 1
+    snapshots.restore_snapshot(spark, store, "kept")
+    assert [r["id"] for r in versions.events().collect()] == ["b"]
+    assert versions.keys(versions.current()).new_rows(events_of(spark, event("b"), event("d"))).count() == 1
 
 
 def test_manifest_and_tampering(spark, tmp_path):
@@ -145,6 +176,26 @@ def test_manifest_and_tampering(spark, tmp_path):
             integrity.safe_paths([bad])
 
 
+def test_large_files_are_hashed_as_streams(spark, tmp_path):
+    """Files of every ending and of any bytes, cut into tiny blocks: the digests of the plain files."""
+    contents = {
+        "a.bin": bytes(range(256)) * 40, "b.txt": b"\n" * 300, "c.txt": b"x" * 900, "d.txt": b"line\r\n" * 90 + b"\r",
+        "e.txt": b"line\n" * 90, "sub/f.bin": b"\xff\n\xfe" * 200, "sub/g.txt": b"\n" + b"y" * 400, "i.txt.gz": b"not packed" * 40,
+    }
+    for name, data in contents.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    want = sorted((name, len(data), hashlib.sha256(data).hexdigest()) for name, data in contents.items())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for limit in (100, 10**6):
+            assert sorted(map(tuple, integrity.file_manifest(spark, str(tmp_path), whole_bytes=limit).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_audit_chain(spark):
     actions = spark.createDataFrame(
         [("c", T0 + timedelta(minutes=i), "ingest", f"s{i}", {"b": "2", "a": str(i)}) for i in range(4)],

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator, Sequence
 from urllib.parse import urlparse
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,27 +17,37 @@ from timberflow.functions.times import quote, rfc3339
 
 # Larger files are hashed as a stream instead of as one value; Spark keeps a value below 2 GiB.
 WHOLE_FILE_BYTES = 256 * 1024 * 1024
-_CHUNK_BYTES = 8 * 1024 * 1024
 
 VERSION = 1
 ALGORITHM = "SHA-256"
 SKIPPED = ("manifest.json", "audit.jsonl")
 
+# Endings by which the text reader picks a codec.
+_PACKED = r"\.(gz|bz2|lz4|snappy|zst|deflate)\z"
 
-def _stream_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """SHA-256 of files read in chunks where they lie."""
-    from pyarrow import fs
+
+def _stream_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of files whose pieces arrive in order; pieces are parted by line feeds, and ``size`` tells whether one ends the file."""
+    done: list[tuple] = []
+    path, size, read, digest = None, 0, 0, None
+
+    def finish() -> None:
+        if digest is not None:
+            done.append((path, size, digest.hexdigest()))
 
     for batch in batches:
-        digests = []
-        for path in batch["uri"]:
-            system, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
-            digest = hashlib.sha256()
-            with system.open_input_stream(place) as stream:
-                while chunk := stream.read(_CHUNK_BYTES):
-                    digest.update(chunk)
-            digests.append(digest.hexdigest())
-        yield pd.DataFrame({"path": batch["path"], "size": batch["size"], "sha256": digests})
+        for name, length, piece in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist(), batch.column("piece")):
+            if name != path:
+                finish()
+                path, size, read, digest = name, length, 0, hashlib.sha256()
+            data = piece.as_buffer()
+            digest.update(data)
+            read += len(data) + 1
+            if read <= size:
+                digest.update(b"\n")
+    finish()
+    columns = list(zip(*done)) or [(), (), ()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string()))], names=["path", "size", "sha256"])
 
 
 def safe_paths(include: Sequence[str]) -> list[str]:
@@ -54,21 +64,36 @@ def safe_paths(include: Sequence[str]) -> list[str]:
 def file_manifest(
     spark: SparkSession, root: str, include: Sequence[str] = (), whole_bytes: int = WHOLE_FILE_BYTES
 ) -> DataFrame:
-    """Relative path, size and SHA-256 of every file below ``root``, or of the named ones; one task per file."""
+    """Relative path, size and SHA-256 of every file below ``root``, or of the named ones.
+
+    A file up to ``whole_bytes`` is one value.  A larger one is read by many tasks through Spark's own reader, so from any
+    store that Spark reads, as pieces between line feeds, which come in order to the one task that hashes them as a stream;
+    a piece, not a file, must fit into memory.  Files whose name makes the reader unpack them are always taken as one value.
+    """
     base = urlparse(root).path.rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    relative = F.expr("substr(path, instr(path, base) + length(base))")
-    named = files.withColumn("base", F.lit(base)).withColumn("uri", F.col("path")).withColumn("path", relative)
+    relative = lambda path: F.expr(f"substr({path}, instr({path}, base) + length(base))")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).withColumn("base", F.lit(base))
+    named = listed.withColumn("uri", F.col("path")).withColumn("path", relative("path"))
     if include:
         named = named.filter(F.col("path").isin(safe_paths(include)))
     else:
         named = named.filter(~F.col("path").isin(*SKIPPED) & ~F.col("path").startswith("snapshots/"))
-    small = named.filter(F.col("length") <= whole_bytes).select(
-        "path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256")
+    whole = (F.col("length") <= whole_bytes) | F.col("path").rlike(_PACKED)
+    small = named.filter(whole).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    large = [(row["uri"], row["path"]) for row in named.filter(~whole).select("uri", "path").toLocalIterator()]
+    if not large:
+        return small
+    paths = {uri: path for uri, path in large}
+    pieces = spark.read.option("lineSep", "\n").text(list(paths)).select(
+        F.col("_metadata.file_path").alias("uri"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_size").alias("size"),
+        F.monotonically_increasing_id().alias("seq"),
+        F.col("value").cast("binary").alias("piece"),
     )
-    large = named.filter(F.col("length") > whole_bytes).select("path", F.col("length").alias("size"), "uri")
-    streamed = large.repartition("path").mapInPandas(_stream_digests, schemas.ddl(schemas.MANIFEST))
-    return small.unionByName(streamed)
+    placed = pieces.withColumn("base", F.lit(base)).withColumn("path", relative("uri"))
+    ordered = placed.repartition("path").sortWithinPartitions("path", "block", "seq").select("path", "size", "piece")
+    return small.unionByName(ordered.mapInArrow(_stream_digests, schemas.ddl(schemas.MANIFEST)))
 
 
 def _chain_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -10,14 +10,16 @@ from timberflow.functions.fields import fields_text
 from timberflow.functions.times import rfc3339
 from timberflow.operators import quality
 from timberflow.operators.dedup import EVENT_ORDER, duplicate_ids
+from timberflow.session import materialize
 
 
 def _save(df: DataFrame, order: list[str], violation: Column, path: str, mode: str) -> None:
-    twice = duplicate_ids(df).limit(1).collect()
+    """Checks, ranges and files all come from one materialized run of the table's lineage."""
+    rows = materialize(quality.checked(df, violation))
+    twice = duplicate_ids(rows.select("id")).limit(1).collect()
     if twice:
         raise ValueError(f"duplicate id {twice[0]['id']!r}")
-    checked = quality.checked(df, violation)
-    ranged = checked.repartitionByRange(*[F.col(name) for name in order]).sortWithinPartitions(*order)
+    ranged = rows.repartitionByRange(*[F.col(name) for name in order]).sortWithinPartitions(*order)
     ranged.write.mode(mode).parquet(path)
 
 

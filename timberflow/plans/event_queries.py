@@ -26,6 +26,7 @@ from timberflow.functions import (
 )
 from timberflow.functions.compare import compare_text
 from timberflow.operators import aggregates, dedup, filters, quality, reports
+from timberflow.operators.keys import KeyTable
 from timberflow.operators.predicates import match_rules, predicate_column, rule_column
 from timberflow.plans import adapter
 from timberflow.plans.catalog import query
@@ -41,6 +42,7 @@ from timberflow.plans.oracle import (
     rfc3339 as rfc3339_sql,
     source_name,
 )
+from timberflow.session import scratch_path
 from timberflow.settings import Predicate, Rule, duration_nanos
 
 HOUR = duration_nanos("1h")
@@ -490,6 +492,23 @@ def append_new(spark, folder):
     return dedup.append_new(stored, added).select("line", "id", "fingerprint")
 
 
+@query(
+    "append_keyed",
+    EV
+    + f""", old AS (SELECT * FROM ev WHERE ts < '{_HALF}' QUALIFY {_FIRST_TIME})
+    SELECT line, id, fingerprint FROM ev WHERE ts >= '2024-01-10'
+      AND fingerprint NOT IN (SELECT fingerprint FROM old) QUALIFY {_FIRST_TIME}""",
+)
+def append_keyed(spark, folder):
+    """The same additions, appended in two steps against stored keys instead of the stored rows."""
+    events = adapter.events(spark, folder)
+    half, start = F.lit(_HALF).cast("timestamp"), F.lit("2024-01-10").cast("timestamp")
+    table = KeyTable(spark, scratch_path(spark, "keyed"), [])
+    table.add(table.new_rows(events.filter(F.col("timestamp") < half)), 1)
+    table.active = [1]
+    return table.new_rows(events.filter(F.col("timestamp") >= start)).select("line", "id", "fingerprint")
+
+
 @query(
     "append_counts",
     EV

@@ -1,70 +1,38 @@
 """Whole flows over a store: ingest, detect, compact, report and verify.
 
-A store is a folder with one sub-folder per generation and a table of generations.  Events are kept in segments:
-an ingest adds one with only the new rows, a compaction replaces all of them by one.  The row in the table of
-generations is written last, so a run that fails half-way leaves the store as it was.
+Events are kept in segments: an ingest adds one with only the new rows, a compaction replaces all of them by one.  The
+pointer row of a generation is written last, so a run that fails half-way leaves the store as it was.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberflow import schemas
 from timberflow.functions.times import instant
-from timberflow.operators import aggregates, dedup, integrity, quality, reports, retention, sinks
+from timberflow.operators import aggregates, integrity, reports, retention
 from timberflow.operators.detection import detect, evaluations
 from timberflow.operators.incidents import news_of_run, reconcile
-from timberflow.operators.snapshots import check_name
-from timberflow.session import prepare
+from timberflow.operators.snapshots import cleanup, create_snapshot
+from timberflow.operators.versions import Versions
+from timberflow.session import materialize, prepare
 from timberflow.settings import LogSource, Retention, Rule
 from timberflow.sources.ingest import Ingested, ingest
 
-_GENERATION = "generation bigint, segments array<string>, incidents string, manifest string, root_digest string"
 _CHAIN = "store"
 
 
-@dataclass
-class Store:
-    spark: SparkSession
-    root: str
+class Store(Versions):
+    """A store with a manifest of its files and an audit chain."""
 
     def __post_init__(self):
         prepare(self.spark)
 
-    def _generations(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(_GENERATION).parquet(f"{self.root}/generations")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return self.spark.createDataFrame([], _GENERATION)
-
-    def current(self) -> dict:
-        newest = self._generations().orderBy(F.desc("generation")).first()
-        if newest is None:
-            return {"generation": 0, "segments": [], "incidents": None, "manifest": None, "root_digest": ""}
-        return newest.asDict()
-
-    def events(self) -> DataFrame:
-        segments = self.current()["segments"]
-        if not segments:
-            return self.spark.createDataFrame([], schemas.ddl(schemas.EVENTS))
-        paths = [f"{self.root}/{segment}" for segment in segments]
-        rows = self.spark.read.schema(schemas.ddl(schemas.EVENTS)).parquet(*paths)
-        return quality.checked(rows, quality.event_violation())
-
-    def incidents(self) -> DataFrame:
-        path = self.current()["incidents"]
-        if path is None:
-            return self.spark.createDataFrame([], schemas.ddl(schemas.INCIDENTS))
-        rows = self.spark.read.schema(schemas.ddl(schemas.INCIDENTS)).parquet(f"{self.root}/{path}")
-        return quality.checked(rows, quality.incident_violation())
-
     def audit(self) -> DataFrame:
         schema = f"{_CHAIN} string, " + schemas.ddl(schemas.AUDIT)
         if self.current()["generation"] == 0:
@@ -79,18 +47,11 @@ class Store:
 
         ``events`` become a further segment, or with ``replace`` the only one.
         """
-        state = self.current()
-        generation = state["generation"] + 1
-        folder = f"data/generation={generation}"
-        segments, path = list(state["segments"]), state["incidents"]
-        if events is not None:
-            sinks.save_events(events, f"{self.root}/{folder}/events", mode="overwrite")
-            segments = ([] if replace else segments) + [f"{folder}/events"]
-        if incidents is not None:
-            sinks.save_incidents(incidents, f"{self.root}/{folder}/incidents", mode="overwrite")
-            path = f"{folder}/incidents"
+        before = self.current()
+        state = self.write(events, replace, incidents)
+        generation = state["generation"]
         manifest = f"manifests/generation={generation}"
-        integrity.file_manifest(self.spark, f"{self.root}/data").write.mode("overwrite").parquet(f"{self.root}/{manifest}")
+        self._manifest(before, state).write.mode("overwrite").parquet(f"{self.root}/{manifest}")
         digest = integrity.root_digest(self.spark.read.parquet(f"{self.root}/{manifest}")).first()[0]
         details = F.create_map(F.lit("summary"), F.lit(summary))
         record = self.spark.range(1).select(
@@ -103,15 +64,24 @@ class Store:
         last = integrity.last_records(self.audit(), _CHAIN)
         sealed = integrity.seal_chain(record, _CHAIN, ["time"], last)
         sealed.write.mode("overwrite").parquet(f"{self.root}/audit/generation={generation}")
-        row = [(generation, segments, path, manifest, digest)]
-        self.spark.createDataFrame(row, _GENERATION).coalesce(1).write.mode("append").parquet(f"{self.root}/generations")
+        self.switch(state | {"manifest": manifest, "root_digest": digest})
         return digest
 
+    def _manifest(self, before: dict, state: dict) -> DataFrame:
+        """Files of the version's tables; only those of new folders are read, the others keep their entries."""
+        prefix = f"generation={state['generation']}/"
+        new = integrity.file_manifest(self.spark, f"{self.root}/data/{prefix[:-1]}").withColumn("path", F.concat(F.lit(prefix), "path"))
+        if before["manifest"] is None:
+            return new
+        old = self.spark.read.parquet(f"{self.root}/{before['manifest']}")
+        kept = [F.col("path").startswith(path.removeprefix("data/") + "/") for path in self._named([state]) if f"/{prefix}" not in path]
+        return new.unionByName(old.filter(reduce(Column.__or__, kept, F.lit(False))))
+
 
 def run_ingest(store: Store, sources: Sequence[LogSource], now: datetime, names: Sequence[str] = ()) -> Ingested:
     """Read sources and add the events the store does not have yet."""
     result = ingest(store.spark, sources, now, names)
-    fresh = dedup.append_new(store.events(), result.events).select(*schemas.EVENTS)
+    fresh = store.keys(store.current()).new_rows(result.events).select(*schemas.EVENTS)
     store.commit("ingest", "sources=" + ",".join(source.name for source in sources), now, events=fresh)
     return result
 
@@ -125,15 +95,15 @@ def run_detect(store: Store, rules: Sequence[Rule], now: datetime, idempotent: b
 
 
 def run_compact(store: Store, policy: Retention, now: datetime, snapshot: str = "") -> DataFrame:
-    """Apply retention; a snapshot keeps the tables as they were.  Returns the counters."""
+    """Apply retention and remove what expired; a snapshot keeps the tables as they were.  Returns the counters."""
     events, incidents = store.events(), store.incidents()
     if policy.snapshot_before_compact:
-        name = check_name(snapshot or now.strftime("%Y%m%dT%H%M%S.%fZ"))
-        sinks.save_events(events, f"{store.root}/snapshots/{name}/events")
-        sinks.save_incidents(incidents, f"{store.root}/snapshots/{name}/incidents")
+        create_snapshot(store.spark, store.root, snapshot or now.strftime("%Y%m%dT%H%M%S.%fZ"), now)
     result = retention.compact(events, incidents, policy, now)
+    stats = materialize(result.stats)
     store.commit("compact", f"event_days={policy.event_days}", now, result.events, True, result.incidents)
-    return result.stats
+    cleanup(store.spark, store.root)
+    return stats
 
 
 def run_report(store: Store, bucket: str = "1h", top: int = reports.DEFAULT_TOP) -> dict[str, DataFrame]:

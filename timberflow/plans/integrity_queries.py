@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from timberflow import schemas
 from timberflow.operators import dedup, integrity, sinks, snapshots
+from timberflow.operators.versions import Versions
 from timberflow.plans import adapter
 from timberflow.plans.catalog import query
 from timberflow.plans.incident_queries import _DET, NOW, stored_incidents
@@ -49,19 +50,60 @@ def int_store_digest(spark, folder):
     return integrity.store_digest(_entries(spark, folder))
 
 
-@query("int_manifest")
+_FILED: dict[tuple[str, str], str] = {}
+
+
+def _filed(spark: SparkSession, folder: str) -> str:
+    """All documents as text files of a hundred ids each, by language, written once per application."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _FILED:
+        path = scratch_path(spark, "files")
+        part = F.floor(F.col("doc_id") / 100).cast("bigint").alias("part")
+        rows = adapter.table(spark, folder, "documents").select("lang", part, "doc_id", "text")
+        ordered = rows.repartition("lang", "part").sortWithinPartitions("lang", "part", "doc_id").drop("doc_id")
+        ordered.write.partitionBy("lang", "part").text(path)
+        _FILED[key] = path
+    return _FILED[key]
+
+
+def _named_files(manifest: DataFrame) -> DataFrame:
+    """The manifest with each file named by its folder, as file names are drawn at random."""
+    return manifest.withColumn("path", F.regexp_extract("path", r"^(lang=[^/]+/part=\d+)/", 1))
+
+
+_FILES = """WITH files AS (
+    SELECT 'lang=' || lang || '/part=' || doc_id // 100 AS path, sum(strlen(text) + 1)::BIGINT AS size,
+      sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS sha256, lang FROM documents GROUP BY lang, doc_id // 100)"""
+
+
+@query("int_manifest", _FILES + "SELECT path, size, sha256 FROM files")
 def int_manifest(spark, folder):
-    """Size and digest of the table files themselves."""
-    return integrity.file_manifest(spark, folder)
+    """Size and digest of files; those above 64 kB are hashed as streams."""
+    return _named_files(integrity.file_manifest(spark, _filed(spark, folder), whole_bytes=65_536))
 
 
-@query("int_verify_files")
+@query(
+    "int_verify_files",
+    _FILES
+    + """SELECT 'gone/' || path || ': no such file' AS finding FROM files WHERE lang = 'de'
+    UNION ALL SELECT path || ': size ' || size || ', expected 0' FROM files WHERE lang = 'fr'
+    UNION ALL SELECT path || ': SHA-256 mismatch' FROM files WHERE lang = 'es'
+    UNION ALL SELECT 'manifest root digest mismatch'""",
+)
 def int_verify_files(spark, folder):
-    """Manifest with a file too many and a wrong size, against the files there are."""
-    manifest = integrity.file_manifest(spark, folder)
-    wrong = manifest.withColumn("size", F.when(F.col("path").startswith("part"), 0).otherwise(F.col("size")))
-    gone = manifest.filter(F.col("path").startswith("events")).withColumn("path", F.lit("lost.parquet"))
-    return integrity.verify_files(spark, folder, wrong.unionByName(gone), "0" * 64)
+    """Manifest with files too many, wrong sizes and wrong digests, against the files there are."""
+    root = _filed(spark, folder)
+    manifest = materialize(integrity.file_manifest(spark, root))
+    of = lambda lang: F.col("path").startswith(f"lang={lang}/")
+    wrong = manifest.withColumns(
+        {
+            "size": F.when(of("fr"), 0).otherwise(F.col("size")),
+            "sha256": F.when(of("es"), F.sha2("path", 256)).otherwise(F.col("sha256")),
+        }
+    )
+    gone = manifest.filter(of("de")).withColumn("path", F.concat(F.lit("gone/"), "path"))
+    found = integrity.verify_files(spark, root, wrong.unionByName(gone), "0" * 64)
+    return found.withColumn("finding", F.regexp_replace("finding", r"/part-[^/:]+\.txt", ""))
 
 
 @query(
@@ -234,7 +276,7 @@ def _store(spark: SparkSession, folder: str) -> str:
 @query(
     "snap_create",
     _DET
-    + """SELECT 'before' AS name, TIMESTAMP '2024-01-31' AS created, (SELECT count(*) FROM events) AS events,
+    + """SELECT 'before' AS name, TIMESTAMP '2024-01-31' AS created, 1::BIGINT AS generation, (SELECT count(*) FROM events) AS events,
       (SELECT count(*) FROM inc) AS incidents, (SELECT min(ts) FROM events) AS earliest,
       (SELECT max(ts) FROM events) AS latest, 'none' AS root_digest, 'events,incidents' AS files""",
 )
@@ -247,13 +289,14 @@ def snap_create(spark, folder):
     EV + "SELECT ts AS time, id, source, level, fingerprint, 0::BIGINT AS mismatches FROM ev",
 )
 def snap_restore(spark, folder):
-    """Store cut to its first half after a snapshot and then restored: the index again lists all events."""
+    """Store cut to its first half after a snapshot, cleaned up and then restored: the index again lists all events."""
     store = _store(spark, folder)
+    versions = Versions(spark, store)
     snapshots.create_snapshot(spark, store, "before", NOW)
-    half = spark.read.parquet(f"{store}/snapshots/before/events").filter(F.col("timestamp") < "2024-01-16")
-    half.write.mode("overwrite").parquet(f"{store}/events")
-    snapshots.rebuild_index(spark, store)
+    half = versions.events().filter(F.col("timestamp") < "2024-01-16")
+    snapshots.save_store(half, versions.incidents(), store)
+    snapshots.cleanup(spark, store)
     snapshots.restore_snapshot(spark, store, "before")
-    events, index = spark.read.parquet(f"{store}/events"), spark.read.parquet(f"{store}/index")
+    events, index = versions.events(), versions.index()
     wrong = dedup.index_mismatches(events, dedup.positioned_index(index)).agg(F.count("*").alias("mismatches"))
     return index.withColumn("_one", F.lit(1)).join(wrong.withColumn("_one", F.lit(1)), "_one").drop("_one")

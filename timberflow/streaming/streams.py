@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from timberflow import schemas
 from timberflow.functions.times import ORIGIN_MICROS
-from timberflow.operators.dedup import append_new, dedup_first
+from timberflow.operators.dedup import dedup_first
+from timberflow.operators.keys import KeyTable
 from timberflow.session import materialize, prepare
 from timberflow.settings import LogSource
 from timberflow.sources.csv_records import read_headers, records
@@ -34,7 +35,8 @@ def start_ingest(
     """Ingest new JSONL or CSV files into ``store``: tables events and rejected, one folder per micro-batch.
 
     Each batch holds whole files, so line numbers are exact.  A fingerprint stored before, or seen earlier in the
-    batch, is dropped.  A batch that is run again overwrites its own folders and does not look at them.
+    batch, is dropped; of what is stored only the keys in buckets that a batch may repeat are read.  A batch that is
+    run again overwrites its own folders and does not look at them.
     """
     reader = prepare(spark).readStream.option("lineSep", "\n")
     if files_per_trigger:
@@ -51,12 +53,12 @@ def start_ingest(
         scanned = with_seq(batch)
         raw = records(scanned, headers, not source.csv_columns) if headers else jsonl_records(scanned, source)
         tagged = materialize(normalize(raw, source, now))
-        fresh = dedup_first(good(tagged)).select(*schemas.EVENTS)
-        if epoch > 0:
-            stored = session.read.schema(schemas.ddl(schemas.EVENTS) + ", epoch bigint").parquet(f"{store}/events")
-            fresh = append_new(stored.filter(F.col("epoch") < epoch), fresh).select(*schemas.EVENTS)
+        keys = KeyTable(session, store, range(epoch))
+        fresh = keys.new_rows(dedup_first(good(tagged))).select(*schemas.EVENTS)
         rejections(tagged).write.mode("overwrite").parquet(f"{store}/rejected/epoch={epoch}")
         fresh.write.mode("overwrite").parquet(f"{store}/events/epoch={epoch}")
+        # Written before the batch counts as done; a batch that is run again does not look at its own keys.
+        keys.add(session.read.schema(schemas.ddl(schemas.EVENTS)).parquet(f"{store}/events/epoch={epoch}"), epoch)
 
     return (
         lines.writeStream.foreachBatch(store_batch)
