@@ -13,6 +13,7 @@ from timberflow.settings import LogSource, Multiline
 from timberflow.sources import csv_records
 from timberflow.sources.csv_records import check_headers, split_records
 from timberflow.sources.ingest import ingest, merged_stats, tagged_source
+from timberflow.sources.json_documents import read_documents
 from timberflow.sources.lines import read_lines, scan_lines
 from timberflow.sources.normalize import cut_raw
 from timberflow.sources.readers import assemble_multiline
@@ -36,7 +37,7 @@ def write(tmp_path, name, text):
 
 
 def record(**more):
-    base = {"timestamp": "2025-03-01T10:00:00Z", "level": "error", "source": "API", "message": "failure 12"}
+    base = {"timestamp": "2025-03-01T08:30:00Z", "level": "severe", "source": "Print Room", "message": "tray 4 jammed"}
     return json.dumps({**base, **more})
 
 
@@ -45,15 +46,17 @@ def rows(spark, tmp_path, text, format="jsonl", **more):
     return [row.asDict() for row in tagged_source(spark, source, NOW).orderBy("line").collect()]
 
 
-def test_strict_jsonl_and_duplicates(spark, tmp_path):
-    text = record() + "\n" + record(level="ERROR", source="api", message="failure 99") + "\n{bad json}\n"
+def test_counters_of_one_file(spark, tmp_path):
+    """Two spellings of one event, two broken lines and a blank one."""
+    lines = [record(), '["a list"]', "", record(level="err", source="print  room", message="tray 17 jammed"), record(message="lamp out") + "}"]
+    text = "\r\n".join(lines)
     result = ingest(spark, [LogSource("in", write(tmp_path, "a.jsonl", text), "jsonl")], NOW)
-    assert result.events.count() == 1
+    assert [row.line for row in result.events.collect()] == [1]
     stats = merged_stats(result.stats).first()
-    assert (stats["records"], stats["duplicates"], stats["rejected"], stats["lines"]) == (1, 1, 1, 3)
+    assert (stats["records"], stats["duplicates"], stats["rejected"], stats["lines"]) == (1, 1, 2, 5)
     assert stats["bytes"] == len(text)
-    rejected = result.rejected.collect()
-    assert [(row.line, row.reason, row.raw) for row in rejected] == [(3, "invalid_json", "{bad json}")]
+    rejected = sorted((row.line, row.reason, row.raw) for row in result.rejected.collect())
+    assert rejected == [(2, "invalid_json", '["a list"]'), (5, "invalid_json", lines[4])]
 
 
 @pytest.mark.parametrize(
@@ -116,7 +119,8 @@ def test_json_documents(spark, tmp_path):
         (2, 'missing timestamp field "timestamp"'),
         (3, None),
     ]
-    assert found[1]["raw"] == json.dumps(items)
+    # A document may be of any size, so a record's raw text is its own and not the document's.
+    assert found[1]["raw"] == "null" and json.loads(found[2]["raw"]) == items[2]
     assert len(rows(spark, tmp_path, record(), "json")) == 1
     for bad in ("[1]", "{} {}", '"x"', "[{}"):
         with pytest.raises(Exception, match="JSON document"):
@@ -290,3 +294,23 @@ def test_multiline_without_starts_and_long_lines(spark, tmp_path, small_blocks):
     found = rows(spark, tmp_path, text, max_line_bytes=200)
     assert [row["reason"] for row in found] == [None, "line too long", None] and found[1]["raw"] == text.split("\n")[1]
     assert [row["reason"] for row in rows(spark, tmp_path, text, max_line_bytes=0)] == [None] * 3
+
+
+def test_json_documents_in_tiny_blocks(spark, tmp_path, small_blocks):
+    """Nested, escaped and empty records, nulls everywhere and brackets in strings: blocks of 64 bytes give what one parser gives."""
+    spark.conf.set("spark.sql.files.openCostInBytes", "4")  # files of a few bytes need a split size above 0
+    rng = random.Random(17)
+    pool = [None, {}, {"a": "}{][,\"\\"}, {"a": [{"b": [1, {}]}, "]}"], "c": {"d": {}}}, {"k": "x" * 150, "n": 1.5}, {"\\": "é\n"}]
+    for k, indent in enumerate([None, 1, None, 3]):
+        document = [rng.choice(pool) for _ in range(60)]
+        path = write(tmp_path, f"d{k}.json", rng.choice(["", " \n"]) + json.dumps(document, indent=indent, ensure_ascii=k % 2 == 0) + rng.choice(["", "\n\n"]))
+        got = read_documents(spark, path).orderBy("line").collect()
+        assert [(row.line, json.loads(row.raw)) for row in got] == [(i + 1, item) for i, item in enumerate(document)]
+        assert [set(row.record) for row in got] == [set(item or {}) for item in document]
+    for text, want in (("[]", []), (" null ", [None]), ("[ null ,null]", [None, None]), ('{"a":"' + "}" * 200 + '"}\n', [{"a": "}" * 200}])):
+        got = read_documents(spark, write(tmp_path, "one.json", text)).orderBy("line").collect()
+        assert [json.loads(row.raw) for row in got] == want
+    good_ = json.dumps([pool[3]] * 9)
+    for k, bad in enumerate([good_[:-1], good_ + "]", good_[1:], good_.replace("},", "}", 1), good_ + " x", good_.replace("[", "[,", 1), good_.replace("}}, {", "}}, 7, {", 1), '{"a":1} null', "[null,]", "  "]):
+        with pytest.raises(Exception, match="JSON document"):
+            read_documents(spark, write(tmp_path, f"bad{k}.json", bad)).collect()

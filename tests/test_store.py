@@ -53,6 +53,10 @@ def test_references(spark):
     assert [row[0] for row in dedup.dangling_references(events, incidents).collect()] == ["1:x", "2:x"]
     refs = {row["event_id"]: row["incident_ids"] for row in dedup.incident_references(incidents).collect()}
     assert refs == {"a": ["1"], "x": ["1", "2"]}
+    many = incident_of(spark, *[(f"{k:03d}", "open", 0, 1, ["x", "y"] if k % 7 == 0 else ["x"]) for k in range(100)])
+    rows = dedup.reference_postings(many, chunk=9).orderBy("event_id", "chunk").collect()
+    assert max(len(row["incident_ids"]) for row in rows) == 9 and [row["chunk"] for row in rows] == [*range(12), 0, 1]
+    assert [i for row in rows if row["event_id"] == "x" for i in row["incident_ids"]] == [f"{k:03d}" for k in range(100)]
 
 
 def test_row_checks(spark):

@@ -11,6 +11,9 @@ from timberflow.operators.positions import with_position
 
 EVENT_ORDER = ["timestamp", "ts_nanos", "id"]
 
+# Incidents in one row of the inverted references.
+POSTING_ROWS = 1000
+
 
 def first_per_key(df: DataFrame, key: Column | str, order: Sequence[Column | str]) -> DataFrame:
     """First row of each key by ``order``.
@@ -57,10 +60,21 @@ def event_references(incidents: DataFrame) -> DataFrame:
     return incidents.select(F.col("id").alias("incident_id"), F.posexplode("event_ids").alias("pos", "event_id"))
 
 
+def reference_postings(incidents: DataFrame, chunk: int = POSTING_ROWS) -> DataFrame:
+    """Inverted references as (``event_id``, ``chunk``, ``incident_ids``): sorted lists of at most ``chunk`` incidents each.
+
+    Ranks come from a range partitioning, so an event that very many incidents list has many rows and no large one; the lists
+    of an event follow each other in the order of their chunks.
+    """
+    placed = with_position(event_references(incidents).select("event_id", "incident_id"), ["incident_id"], ["event_id"])
+    number = F.floor((F.col("pos") - 1) / chunk).cast("bigint").alias("chunk")
+    return placed.groupBy("event_id", number).agg(F.sort_array(F.collect_list("incident_id")).alias("incident_ids"))
+
+
 def incident_references(incidents: DataFrame) -> DataFrame:
-    """Per event id the sorted ids of the incidents that list it."""
-    pairs = event_references(incidents)
-    return pairs.groupBy("event_id").agg(F.sort_array(F.collect_list("incident_id")).alias("incident_ids"))
+    """Per event id the sorted ids of the incidents that list it, in one row: the export form of the postings."""
+    postings = reference_postings(incidents).groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "incident_ids"))).alias("_lists"))
+    return postings.select("event_id", F.flatten(F.transform("_lists", lambda item: item["incident_ids"])).alias("incident_ids"))
 
 
 def dangling_references(events: DataFrame, incidents: DataFrame) -> DataFrame:

@@ -347,6 +347,19 @@ def incident_refs(spark, folder):
     return refs.select("event_id", F.array_join("incident_ids", ",").alias("incident_ids"))
 
 
+@query(
+    "incident_postings",
+    _DET
+    + """, refs AS (SELECT id AS incident_id, unnest(ids) AS event_id FROM inc),
+    placed AS (SELECT *, (row_number() OVER (PARTITION BY event_id ORDER BY incident_id) - 1) // 2 AS chunk FROM refs)
+    SELECT event_id, chunk, string_agg(incident_id, ',' ORDER BY incident_id) AS incident_ids FROM placed GROUP BY event_id, chunk""",
+)
+def incident_postings(spark, folder):
+    """Inverted references in rows of two incidents each."""
+    postings = dedup.reference_postings(stored_incidents(spark, folder), chunk=2)
+    return postings.select("event_id", "chunk", F.array_join("incident_ids", ",").alias("incident_ids"))
+
+
 @query(
     "dangling_refs",
     _DET

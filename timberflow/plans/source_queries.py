@@ -14,7 +14,6 @@ from timberflow.settings import LogSource, Multiline
 from timberflow.sources.ingest import good, ingest, rejections, tagged_source
 from timberflow.sources.lines import read_lines
 from timberflow.sources.normalize import normalize
-from timberflow.sources.readers import json_records
 from timberflow.sources.tables import load_events
 
 NOW = adapter.NOW
@@ -200,16 +199,18 @@ def src_csv_rejected(spark, folder):
     EV + "SELECT id, fingerprint, (event_id // 500)::VARCHAR AS file, event_id % 500 + 1 AS line FROM ev WHERE value >= 3",
 )
 def src_json(spark, folder):
-    """Whole documents, each an array of up to 500 records."""
-    raw = _raw(spark, folder)
-    # A broken record would spoil its whole document; here it only lacks its message.
-    body = F.when(F.col("value") < 2, F.concat(F.lit('{"timestamp":"'), F.col("at"), F.lit('"}'))).otherwise(_object(raw))
-    numbered = raw.select(F.floor(F.col("event_id") / 500).cast("bigint").alias("doc"), "event_id", body.alias("body"))
-    items = F.sort_array(F.collect_list(F.struct("event_id", "body")))
-    array = F.concat(F.lit(" [\n"), F.array_join(F.transform(items, lambda item: item["body"]), " ,\n"), F.lit("]\n"))
-    documents = numbered.groupBy("doc").agg(array.alias("text")).select(F.col("doc").cast("string").alias("file"), "text")
-    source = LogSource("events", "documents", "json")
-    tagged = normalize(json_records(documents), source, NOW)
+    """Files that are arrays of up to 500 records, without one line break that could part them."""
+
+    def rows(raw: DataFrame) -> DataFrame:
+        # A broken record would spoil its whole document; here it only lacks its message.
+        body = F.when(F.col("value") < 2, F.concat(F.lit('{"timestamp":"'), F.col("at"), F.lit('"}'))).otherwise(_object(raw))
+        placed = raw.select(F.floor(F.col("event_id") / 500).cast("bigint").alias("part"), "event_id", body.alias("body"))
+        items = F.sort_array(F.collect_list(F.struct("event_id", "body")))
+        array = F.concat(F.lit(" ["), F.array_join(F.transform(items, lambda item: item["body"]), " , "), F.lit("]"))
+        return placed.groupBy("part").agg(array.alias("text")).select(F.lit("all").alias("day"), "part", F.lit(0).cast("bigint").alias("ord"), "text")
+
+    source = LogSource("events", _written(spark, folder, "json", rows), "json")
+    tagged = tagged_source(spark, source, NOW).withColumn("file", F.regexp_extract("file", r"part=(\d+)", 1))
     return good(tagged).select("id", "fingerprint", "file", "line")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timberflow.functions import time_bucket
 from timberflow.operators.predicates import match_rules
 from timberflow.plans import adapter
 from timberflow.plans.catalog import query
@@ -14,9 +15,11 @@ from timberflow.plans.source_queries import NOW, jsonl_source
 from timberflow.session import scratch_path
 from timberflow.streaming.detection import StreamingDetector, start_detection
 from timberflow.streaming.streams import (
+    SKETCH_BITS,
     dedup_stream,
     event_stream,
     metrics_stream,
+    rolled_up,
     session_stream,
     start_ingest,
     start_to_table,
@@ -59,17 +62,52 @@ def st_dedup(spark, folder):
     return _run(stream, scratch_path(spark, "stream-dedup")).select("fingerprint")
 
 
+_METRICS = f""", m AS (SELECT {bucket('ts', 604800)} AS bucket, source, level, count(*) AS count, count(DISTINCT fingerprint) AS distinct_,
+      min(ts) AS first, max(ts) AS last, sum(strlen(message))::BIGINT AS bytes, list(DISTINCT fingerprint) AS prints FROM ev GROUP BY 1, 2, 3),
+    closed AS (SELECT * FROM m WHERE bucket + INTERVAL 7 DAYS <= (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR)"""
+
+#: A sketch's estimate is taken as right within five times its standard error, and two.
+_NEAR = 5 * 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def _checked(metrics: DataFrame, exact: DataFrame, keys: list[str]) -> DataFrame:
+    """Metrics with the exact distinct count where the estimate is within its bound, else with the estimate."""
+    joined = metrics.drop("fingerprints").join(exact, keys)
+    near = F.abs(F.col("unique_fingerprints") - F.col("_exact")) <= F.lit(2) + F.col("_exact") * _NEAR
+    return joined.withColumn("unique_fingerprints", F.when(near, F.col("_exact")).otherwise(F.col("unique_fingerprints"))).drop("_exact")
+
+
+def _weekly(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Closed weekly metrics of the stream, and the events they are of."""
+    path = _arrived(spark, folder)
+    stream = metrics_stream(event_stream(spark, path), 604_800, "1 hour")
+    return _run(stream, scratch_path(spark, "stream-metrics")), spark.read.parquet(path)
+
+
 @query(
     "st_metrics",
-    EV
-    + f""", m AS (SELECT {bucket('ts', 604800)} AS bucket, source, level, count(*) AS count, min(ts) AS first,
-      max(ts) AS last, sum(strlen(message))::BIGINT AS bytes FROM ev GROUP BY 1, 2, 3)
-    SELECT * FROM m WHERE bucket + INTERVAL 7 DAYS <= (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR""",
+    EV + _METRICS + "SELECT bucket, source, level, count, distinct_ AS unique_fingerprints, first, last, bytes FROM closed",
 )
 def st_metrics(spark, folder):
     """Weekly buckets the watermark has closed."""
-    stream = metrics_stream(event_stream(spark, _arrived(spark, folder)), 604_800, "1 hour")
-    return _run(stream, scratch_path(spark, "stream-metrics")).drop("unique_fingerprints")
+    metrics, events = _weekly(spark, folder)
+    exact = events.groupBy(time_bucket(F.col("timestamp"), 604_800 * 10**9).alias("bucket"), "source", "level").agg(F.count_distinct("fingerprint").alias("_exact"))
+    return _checked(metrics, exact, ["bucket", "source", "level"])
+
+
+@query(
+    "st_metrics_rolled",
+    EV
+    + _METRICS
+    + """SELECT source, sum(count)::BIGINT AS count, len(list_distinct(flatten(list(prints)))) AS unique_fingerprints,
+      min(first) AS first, max(last) AS last, sum(bytes)::BIGINT AS bytes FROM closed GROUP BY source""",
+)
+def st_metrics_rolled(spark, folder):
+    """The same buckets put together per source from their sketches."""
+    metrics, events = _weekly(spark, folder)
+    closed = metrics.select(F.col("bucket"), "source", "level")
+    placed = events.withColumn("bucket", time_bucket(F.col("timestamp"), 604_800 * 10**9)).join(closed, ["bucket", "source", "level"], "left_semi")
+    return _checked(rolled_up(metrics, ["source"]), placed.groupBy("source").agg(F.count_distinct("fingerprint").alias("_exact")), ["source"])
 
 
 def _detector(spark: SparkSession, folder: str) -> StreamingDetector:

@@ -14,6 +14,7 @@ from timberflow.operators.predicates import java_pattern
 from timberflow.session import materialize
 from timberflow.settings import LogSource, Multiline
 from timberflow.sources import csv_records
+from timberflow.sources.json_documents import read_documents
 from timberflow.sources.json_records import explode_documents, with_record
 from timberflow.sources.lines import BLOCK, block_key, earlier_blocks, join_blocks, number_lines, runs_of_blocks, scan_lines
 
@@ -195,8 +196,7 @@ def json_records(documents: DataFrame) -> DataFrame:
 def read_records(spark: SparkSession, source: LogSource) -> DataFrame:
     """Columns file, line, raw, joined, record and error of one source."""
     if source.format == "json":
-        documents = spark.read.text(source.path, wholetext=True)
-        return json_records(documents.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
+        return read_documents(spark, source.path)
     scanned = scan_lines(spark, source.path)
     if source.format == "jsonl":
         return jsonl_records(scanned, source)
