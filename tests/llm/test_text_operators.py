@@ -49,6 +49,31 @@ def test_classifiers_on_odd_rows(spark, odd):
             assert len(scores) == odd.count() and all(0 <= s <= 1 for s in scores)
 
 
+def test_words_joined_by_marks_are_walked():
+    """The test that spares texts the walk lets every text pass that the grammar scores, whatever stands around the word."""
+    heads = {w[:4] for w in ("idiot", "kill")}
+    for mark in ",.;:!?()[]{}—–…/|<>«»\"'’_*#@=+&%~`^\\$€§°·\u00a0\u200b":
+        for text in (f"hello{mark}idiot", f"idiot{mark}", f"{mark}idiot{mark}x", f"you{mark}idiot hello"):
+            tokens = toxicity.TOKEN.findall(text.lower().replace("’", "'"))
+            if any(t[:4] in heads for t in tokens):
+                assert not heads.isdisjoint(w[:4] for w in toxicity.WORDS.findall(text.lower())), text
+
+
+def test_token_ids_equal_the_library():
+    """Words that end in characters which the normalizer takes apart, before marks of every kind."""
+    rng = random.Random(6)
+    ends = ["İ", "i̇", "é", "e\u0301", "ß", "ǰ", "a", "9", "٣", "ก", "中", "ﬁ", "Å", "ı", "\u200d", "ŉ"]
+    marks = [".", ",", "...", ")", '."', "!?", "'s", "-", "|", "<|", "%", ""]
+    texts = ["DAKİ.", "KİTABİ, ve", "Nİ)", "", " "]
+    texts += [" ".join("".join(rng.choice("abİIKTéx1") for _ in range(rng.randint(0, 4))) + rng.choice(ends) + rng.choice(marks) for _ in range(rng.randint(1, 8))) for _ in range(4000)]
+    library = Tokenizer.from_file(PATH)
+    library.no_truncation()
+    library.no_padding()
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in packing.Tokens(PATH).encode(texts)]
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
 def test_matched_clauses_respect_negation_and_report(spark):
     rows = []
     for k in range(200):

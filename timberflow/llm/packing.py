@@ -47,8 +47,8 @@ Run = tuple[int, int, int, int, int]  # length, first rank, count, first sequenc
 class Tokens:
     """Ids by the tokenizers library, asked once for each distinct word core.
 
-    Neither the file's normalizer nor its splitter reaches across white space, nor from a letter or digit into ASCII marks that
-    end a piece, and case is dropped: a text's ids are those of its pieces in a row, and a piece's those of its core and its marks.
+    Neither the file's normalizer nor its splitter reaches across white space, nor from an ASCII letter or digit into ASCII marks
+    that end a piece, and case is dropped: a text's ids are those of its pieces in a row, and a piece's those of its core and its marks.
     Texts that hold the opening of a special token go to the library as a whole.
     """
 
@@ -74,8 +74,8 @@ class Tokens:
         parts = []
         for piece in new - again:
             core = piece.rstrip(string.punctuation)
-            if core and not (core[-1].isalpha() or core[-1] in string.digits):
-                core = piece  # the marks go on
+            if core and not (core[-1].isascii() and core[-1].isalnum()):
+                core = piece  # the marks go on, or may join what the normalizer makes of the last character
             parts.append((piece, core.lower() if core.isascii() else core, piece[len(core) :]))
         asked = {x for _, core, marks in parts for x in (core, marks)} - self.cores.keys()
         self.cores.update(self._ask(list(asked)))

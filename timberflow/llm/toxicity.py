@@ -45,7 +45,7 @@ INSULTS = set("idiot idiots moron morons imbecile scumbag bastard bastards assho
 
 TOKEN = re.compile(r"[.!?;:\n]+|\w+(?:['’]\w+)*")
 PREFIXES = (4, 5, 6)
-OPENERS = "\"'([{<“”«»„‘’*_>#&%$|/-=+~`¿¡"
+WORDS = re.compile(r"\w+")
 
 Symbol = tuple[str, int]  # class and strength step
 State = tuple[int, ...]
@@ -196,11 +196,11 @@ class ToxicityModel:
                 tokens, total, matched = [], 0.0, False
 
     def may_match(self, text: str) -> bool:
-        """False only where no word begins like an insult or threat, which spares most texts the walk."""
-        for mark in OPENERS:
-            if mark in text:
-                text = text.replace(mark, " ")
-        return not self.heads.isdisjoint(map(itemgetter(slice(0, PREFIXES[0])), text.split()))
+        """False only where no word begins like an insult or threat, which spares most texts the walk.
+
+        Words are cut wherever the grammar's tokens begin, and at apostrophes besides, so no token is overlooked.
+        """
+        return not self.heads.isdisjoint(map(itemgetter(slice(0, PREFIXES[0])), WORDS.findall(text)))
 
     def value(self, text: str | None) -> float:
         if not text or not self.may_match(text.lower()):
