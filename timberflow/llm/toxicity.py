@@ -158,8 +158,7 @@ class ToxicityModel:
         for word in INSULTS:
             self.words.setdefault(word, 0.8)
         marks = [*self.words, *self.beginnings, *THREATS]
-        short = [m for m in marks if len(m) < PREFIXES[0]]
-        self.heads = {m[: PREFIXES[0]] for m in marks} | {m + c for m in short for c in ",.;:!?)]}" + OPENERS}
+        self.heads = {WORDS.match(m)[0][: PREFIXES[0]] for m in marks}
 
     def weight(self, word: str) -> float:
         best = self.words.get(word, 0.0)
