@@ -262,22 +262,33 @@ _BOTH = f"""a AS (SELECT *, 0 AS ord FROM ev WHERE value >= 3),
       event_id) = 1)"""
 
 
+_AT = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')"
+_JSON_BYTES = f"""strlen('{{"timestamp":"' || {_AT} || '", "level":"' || raw_level || '", "source":"' || raw_source || '", "message":"' ||
+      CASE WHEN value >= 3 AND value < 4 THEN '\\u0020' || raw_message || '\\t' ELSE raw_message END || '", "k": ' ||
+      CASE WHEN value >= 2 AND value < 3 THEN '{{"nested": 1}}' ELSE '"' || k || '"' END || ', "volatile.event_id":' || event_id ||
+      CASE WHEN value < 2 THEN '' ELSE '}}' END) + 1"""
+_CSV_BYTES = f"""strlen({_AT} || ',' || CASE WHEN value < 2 THEN 'x"' ELSE '' END || raw_level || ',' || raw_source || ',"' || raw_message ||
+      '",' || k || ',' || event_id || CASE WHEN value >= 2 AND value < 3 THEN ',"a ""quoted"" one"' ELSE '' END) +
+      CASE WHEN value >= 3 AND value < 4 THEN 5 ELSE 0 END + 1"""
+
+
 @query(
     "ingest_stats",
     EV
-    + f""", {_BOTH}
-    SELECT 'events' AS input, (SELECT count(DISTINCT {_DAY} || '/' || (event_id // {FILE_ROWS})) FROM ev) AS files,
+    + f""", {_BOTH}, files AS (SELECT count(DISTINCT {_DAY} || '/' || (event_id // {FILE_ROWS})) AS files FROM ev)
+    SELECT 'events' AS input, (SELECT files FROM files) AS files,
       (SELECT count(*) FROM ev) AS lines, count(*) AS records, (SELECT count(*) FROM ev WHERE value < 3) AS rejected,
-      0::BIGINT AS multiline_joined, (SELECT count(*) FROM a) - count(*) AS duplicates, min(ts) AS first, max(ts) AS last
+      0::BIGINT AS multiline_joined, (SELECT count(*) FROM a) - count(*) AS duplicates,
+      (SELECT sum({_JSON_BYTES})::BIGINT FROM ev_raw) AS bytes, min(ts) AS first, max(ts) AS last
     FROM kept
     UNION ALL
-    SELECT 'sheets', (SELECT count(DISTINCT {_DAY} || '/' || (event_id // {FILE_ROWS})) FROM ev),
-      (SELECT count(*) FROM ev) + (SELECT count(DISTINCT {_DAY} || '/' || (event_id // {FILE_ROWS})) FROM ev), 0,
-      (SELECT count(*) FROM ev WHERE value < 3), 0, (SELECT count(*) FROM a), NULL, NULL""",
+    SELECT 'sheets', (SELECT files FROM files), (SELECT count(*) FROM ev) + (SELECT files FROM files), 0,
+      (SELECT count(*) FROM ev WHERE value < 3), 0, (SELECT count(*) FROM a),
+      (SELECT sum({_CSV_BYTES})::BIGINT FROM ev_raw) + (SELECT files FROM files) * {len(HEADER) + 1}, NULL, NULL""",
 )
 def ingest_stats(spark, folder):
     """Two sources with the same events: all of the second are duplicates."""
-    return _ingest_both(spark, folder).stats.drop("bytes")
+    return _ingest_both(spark, folder).stats
 
 
 @query(

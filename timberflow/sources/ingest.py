@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timberflow import schemas
@@ -45,20 +45,31 @@ def rejections(tagged: DataFrame) -> DataFrame:
     return tagged.filter(F.col("reason").isNotNull()).select(*schemas.REJECTED)
 
 
-def source_stats(tagged: DataFrame, kept: DataFrame, totals: DataFrame) -> DataFrame:
-    """Counters per input; ``totals`` holds input, files, lines and bytes."""
-    seen = tagged.groupBy("input").agg(
+def source_stats(tagged: DataFrame, totals: DataFrame) -> DataFrame:
+    """Counters per input; ``totals`` holds input, files, lines and bytes.
+
+    The records are read once: per fingerprint and input they become one row, which is enough to see which input has a
+    fingerprint's first record.  Rejected records have no fingerprint and are one row per input.
+    """
+    order = [name for name in ("input_ord", "file", "line") if name in tagged.columns]
+    per = tagged.groupBy("input", "fingerprint").agg(
         F.count_if(F.col("reason").isNotNull()).alias("rejected"),
         F.count_if(F.col("reason").isNull()).alias("_good"),
         F.sum("joined").alias("multiline_joined"),
+        F.min(F.struct(*order, "timestamp")).alias("_first"),
     )
-    stored = kept.groupBy("input").agg(
-        F.count("*").alias("records"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")
+    earliest = F.min("_first").over(Window.partitionBy("fingerprint"))
+    kept = F.col("fingerprint").isNotNull() & (F.col("_first") == earliest)
+    per = per.withColumn("_at", F.when(kept, F.col("_first.timestamp"))).withColumn("_kept", kept.cast("int"))
+    seen = per.groupBy("input").agg(
+        *[F.sum(name).alias(name) for name in ("rejected", "_good", "multiline_joined")],
+        F.sum("_kept").alias("records"),
+        F.min("_at").alias("first"),
+        F.max("_at").alias("last"),
     )
     zero = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("bigint").alias(name)
-    joined = totals.join(seen, "input", "left").join(stored, "input", "left")
     duplicates = F.coalesce(F.col("_good"), F.lit(0)) - F.coalesce(F.col("records"), F.lit(0))
-    return joined.select(
+    return totals.join(seen, "input", "left").select(
         "input",
         zero("files"),
         zero("lines"),
@@ -100,5 +111,5 @@ def ingest(
         parts.append(tagged)
     tagged = reduce(DataFrame.unionByName, parts)
     kept = dedup_first(good(tagged))
-    stats = source_stats(tagged, kept, reduce(DataFrame.unionByName, totals))
+    stats = source_stats(tagged, reduce(DataFrame.unionByName, totals))
     return Ingested(tagged, kept.select(*schemas.EVENTS), rejections(tagged), stats)
