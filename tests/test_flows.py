@@ -3,8 +3,8 @@
 import json
 from datetime import datetime, timedelta, timezone
 
+from timberflow.operators.folders import remove
 from timberflow.operators.snapshots import cleanup
-from timberflow.operators.versions import remove
 from timberflow.plans.flows import Store, run_compact, run_detect, run_ingest, run_report, run_verify
 from timberflow.settings import LogSource, Predicate, Retention, Rule
 

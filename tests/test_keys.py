@@ -18,7 +18,7 @@ def rows_of(spark, pairs):
 def test_appends_equal_whole_reads(spark, tmp_path):
     """Five appends with repeats inside and across them, by id and by fingerprint: the same rows as from the whole table."""
     rng = random.Random(3)
-    stored, table = rows_of(spark, []), KeyTable(spark, str(tmp_path), [], buckets=8, bits=1 << 12)
+    stored, table = rows_of(spark, []), KeyTable(spark, str(tmp_path), [], buckets=8)
     for segment in range(1, 6):
         added = rows_of(spark, [(f"i{rng.randint(0, 300)}", f"f{rng.randint(0, 300)}") for _ in range(80)])
         fresh = table.new_rows(added)
@@ -51,8 +51,21 @@ def test_only_touched_buckets_are_read(spark, tmp_path):
     assert table.new_rows(known).count() == 2
 
 
-def test_full_filters_cost_reads_and_no_results(spark, tmp_path):
-    table = KeyTable(spark, str(tmp_path), [1], buckets=2, bits=64)
+def test_full_filters_cost_reads_and_no_results(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("timberflow.operators.keys.LEAST_BITS", 64)
+    table = KeyTable(spark, str(tmp_path), [1], buckets=2, bits_per_key=0)
     table.add(rows_of(spark, [(f"i{k}", f"f{k}") for k in range(500)]), 1)
     added = rows_of(spark, [(f"i{k}", f"f{k}") for k in range(490, 510)])
     assert sorted(r["id"] for r in table.new_rows(added).collect()) == sorted(f"i{k}" for k in range(500, 510))
+
+
+def test_filters_grow_with_their_segment(spark, tmp_path):
+    """Segments of very different sizes have filters of different sizes, and additions are held against all of them."""
+    table = KeyTable(spark, str(tmp_path), [1, 2], buckets=2)
+    table.add(rows_of(spark, [("small", "one")]), 1)
+    table.add(rows_of(spark, [(f"i{k}", f"f{k}") for k in range(5000)]), 2)
+    assert sorted(path.name for path in (tmp_path / "filters").iterdir()) == ["size=4096", "size=65536"]
+    added = rows_of(spark, [("small", "new"), ("x", "f77"), ("y", "one"), ("z", "fresh")])
+    assert [r["id"] for r in table.new_rows(added).collect()] == ["z"]
+    unknown = rows_of(spark, [(f"u{k}", f"v{k}") for k in range(300)])
+    assert table.possible(_keys_of(unknown, 2)).count() < 30

@@ -149,7 +149,7 @@ def test_cleanup_keeps_what_is_named(spark, tmp_path):
             snapshots.create_snapshot(spark, store, "kept", T0)
     gone = snapshots.cleanup(spark, store)
     assert {path for path in gone if path.startswith("data/")} == {"data/generation=1/events", "data/generation=1/incidents", "data/generation=1/index", "data/generation=2/index"}
-    assert {path for path in gone if path.startswith(("keys/", "filters/"))} == {"keys/segment=1", "filters/segment=1"}
+    assert {path for path in gone if path.startswith(("keys/", "filters/"))} == {"keys/segment=1", "filters/size=4096/segment=1"}
     assert [r["id"] for r in versions.events().collect()] == ["c"] and versions.index().count() == 1
     snapshots.restore_snapshot(spark, store, "kept")
     assert [r["id"] for r in versions.events().collect()] == ["b"]

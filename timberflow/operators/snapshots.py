@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberflow.functions.times import instant
+from timberflow.operators.folders import folders
 from timberflow.operators.reports import store_metadata
-from timberflow.operators.versions import Versions, folders
+from timberflow.operators.versions import Versions
 
 TABLES = ["events", "incidents"]
 

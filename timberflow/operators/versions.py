@@ -17,30 +17,13 @@ from pyspark.sql import functions as F
 from timberflow import schemas
 from timberflow.operators import quality, sinks
 from timberflow.operators.dedup import event_index
+from timberflow.operators.folders import folders, remove
 from timberflow.operators.keys import KeyTable
 
 _POINTER = "generation bigint, segments array<string>, incidents string, index string, manifest string, root_digest string"
 _NONE = {"generation": 0, "segments": [], "incidents": None, "index": None, "manifest": None, "root_digest": ""}
 
 
-def _file_system(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
-
-
-def folders(spark: SparkSession, path: str) -> list[str]:
-    """Names of the folders directly below a path; none if it is not there."""
-    system, place = _file_system(spark, path)
-    if not system.exists(place):
-        return []
-    return sorted(item.getPath().getName() for item in system.listStatus(place) if item.isDirectory())
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    system, place = _file_system(spark, path)
-    system.delete(place, True)
-
-
 def generation_of(path: str) -> int:
     return int(path.split("generation=")[1].split("/")[0])
 
@@ -128,8 +111,9 @@ class Versions:
             for table in folders(self.spark, f"{self.root}/data/{name}"):
                 if f"data/{name}/{table}" not in named:
                     gone.append(f"data/{name}/{table}")
-        for kind in ("keys", "filters"):
-            gone += [f"{kind}/{name}" for name in folders(self.spark, f"{self.root}/{kind}") if int(name.split("=")[1]) not in segments]
+        places = ["keys", *[f"filters/{name}" for name in folders(self.spark, f"{self.root}/filters")]]
+        for place in places:
+            gone += [f"{place}/{name}" for name in folders(self.spark, f"{self.root}/{place}") if int(name.split("=")[1]) not in segments]
         manifests = {state.get("manifest") for state in states}
         gone += [f"manifests/{name}" for name in folders(self.spark, f"{self.root}/manifests") if f"manifests/{name}" not in manifests]
         for path in gone:
