@@ -64,13 +64,14 @@ def test_token_ids_equal_the_library():
     rng = random.Random(6)
     ends = ["İ", "i̇", "é", "e\u0301", "ß", "ǰ", "a", "9", "٣", "ก", "中", "ﬁ", "Å", "ı", "\u200d", "ŉ"]
     marks = [".", ",", "...", ")", '."', "!?", "'s", "-", "|", "<|", "%", ""]
-    texts = ["DAKİ.", "KİTABİ, ve", "Nİ)", "", " "]
+    texts = ["DAKİ.", "KİTABİ, ve", "Nİ)", "", " ", "a<|endoftext|>b", "A <|ENDOFTEXT|> b", "<|startoftext|><|endoftext|> İ", "<|endoftext|"]
     texts += [" ".join("".join(rng.choice("abİIKTéx1") for _ in range(rng.randint(0, 4))) + rng.choice(ends) + rng.choice(marks) for _ in range(rng.randint(1, 8))) for _ in range(4000)]
     library = Tokenizer.from_file(PATH)
     library.no_truncation()
     library.no_padding()
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
-    got = [np.frombuffer(ids, "<u4").tolist() for ids in packing.Tokens(PATH).encode(texts)]
+    compiled = bpe_automaton.TokenizationAutomaton(PATH)
+    got = [np.frombuffer(compiled.encode(t), "<u4").tolist() for t in texts]
     assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
 
 
@@ -178,6 +179,19 @@ def test_automaton_equals_library(spark, odd):
         assert r.c.decoded == library.decode(ids, skip_special_tokens=False)
 
 
+def test_table_of_states_may_start_anew(monkeypatch):
+    """Memories of a few entries give the ids that unbounded ones give, and a very long word is read like any other."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefghienstrñöß'0., ") for _ in range(60)) for _ in range(300)] + ["ab" * 30_000]
+    free = bpe_automaton.TokenizationAutomaton(PATH)
+    want = [free.encode(t) for t in texts]
+    for name, size in (("MEMORY", 8), ("ARCS", 5), ("STATES", 3)):
+        monkeypatch.setattr(bpe_automaton, name, size)
+    tight = bpe_automaton.TokenizationAutomaton(PATH)
+    assert [tight.encode(t) for t in texts] == want
+    assert len(tight.states) <= 4 and len(tight.pieces) <= 5 and len(tight.arcs) <= 6
+
+
 def test_tokens_query_covers_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{TINY}/documents.parquet").collect()}
     library = Tokenizer.from_file(PATH)

@@ -6,13 +6,18 @@ Arcs carry vocabulary tokens.  The automaton starts as one state that loops on e
 * the state that ``a`` leads to is copied without its ``b`` arc, and arcs labelled ``a`` now lead to the copy;
 * every state with an ``a`` arc gets a ``c`` arc to where ``b`` led before.
 
-What remains are exactly the token sequences that running the merges would give, one for each word, so a word is
-encoded by following arcs that spell it.  All arcs of one label lead to one state and a state never loses an arc.  A state
-is therefore named by a label and a time: the copies that the gadgets made for that label, newest first, and below them the
-state that the label took over from its right part when it was made.  An arc is looked up in that form in a few steps and
-then memorised; the full table of states by tokens is never written out.
-
-Texts are cut at white space, and what a piece encodes to is memorised, so the automaton runs once for each distinct piece.
+What remains are exactly the token sequences that running the merges would give, one for each word.  All arcs of one label
+lead to one state and a state never loses an arc.  A state is therefore named by a label and a time: the copies that the gadgets
+made for that label, newest first, and below them the state that the label took over from its right part when it was made.  An
+arc is looked up in that form in a few steps and then memorised.
+
+A beginning of a sequence that stays is a sequence that stays, so every beginning of a word has exactly one path too, and the arc
+it ends with is a function of the symbols read.  Read by symbols, the automaton is deterministic: a state holds that last arc
+and, for each begun arc, the arc before it and its place in the trie of labels.  The table of states by symbols is filled as words
+meet it; encoding a word is one lookup for each symbol, and the ids are read off from the end, each last arc telling where
+the arc before it ended.
+
+Texts are cut at white space, and what a piece encodes to is memorised, so the automaton runs once for each distinct word.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,12 +36,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-#: Distinct pieces and arcs that one worker memorises before it starts anew.
-MEMORY = 250_000
+#: Distinct pieces and words, arcs, and states of the table by symbols that one worker memorises before it starts anew.
+MEMORY, ARCS, STATES = 500_000, 500_000, 200_000
 
 #: White space of the Unicode property White_Space; Python's split() takes four control characters more.
 SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 CONTROLS = re.compile("[\x1c-\x1f]")
+#: Pieces that no normalizer composes and that every Unicode version lowers and splits alike: ASCII and the letters of Latin-1.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def byte_symbols() -> list[str]:
@@ -52,22 +61,41 @@ class Arcs(dict):
         self.owner = owner
 
     def __missing__(self, key: int) -> bool:
-        if len(self) > 2 * MEMORY:
+        if len(self) > ARCS:
             self.clear()
         self[key] = found = self.owner.has_arc(key >> 20, key & 0xFFFFF)
         return found
 
 
-class Pieces(dict):
-    """Memorised encodings of the pieces between white space, as little-endian unsigned 32-bit ids."""
+class State(dict):
+    """A row of the table by symbols: the next state for each symbol met so far.
 
-    def __init__(self, owner: TokenizationAutomaton):
-        self.owner = owner
+    ``begun`` holds (arc before, place in the trie) of every arc that the symbols read may have begun, longest first; ``last`` is the
+    arc that the path of the symbols read ends with, and ``ends`` the arc that the whole word ends with for each last symbol.
+    """
+
+    __slots__ = ("owner", "begun", "last", "ends")
+
+    def __init__(self, owner: TokenizationAutomaton, begun: tuple[tuple[int, int], ...], last: int):
+        self.owner, self.begun, self.last, self.ends = owner, begun, last, {}
+
+    def __missing__(self, symbol: str) -> State:
+        self[symbol] = found = self.owner.next_state(self, symbol)
+        return found
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) > MEMORY:
+
+class Memory(dict):
+    """What ``make`` gave for each key, in two generations: what is met again while the older one lasts is kept."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) > MEMORY // 2:
+            self.older = dict(self)
             self.clear()
-        self[piece] = found = self.owner.encode_piece(piece)
+        found = self.older.get(key)
+        self[key] = found = self.make(key) if found is None else found
         return found
 
 
@@ -91,7 +119,9 @@ class TokenizationAutomaton:
         whole = Tokenizer.from_file(path)
         self.normalizer, self.splitter = whole.normalizer, whole.pre_tokenizer
         self._compile([m.split(" ") if isinstance(m, str) else m for m in model["merges"]])
-        self.arcs, self.pieces, self.known = Arcs(self), Pieces(self), {}
+        self.arcs, self.pieces, self.known = Arcs(self), Memory(self.encode_piece), Memory(self._word)
+        self.widths = [len(label.removesuffix(self.end) if self.end else label) for label in self.labels]
+        self._empty_table()
 
     def _compile(self, merges: list[list[str]]) -> None:
         size = len(self.labels)
@@ -141,54 +171,74 @@ class TokenizationAutomaton:
             else:
                 before, label = min(before, self.made[label]), self.right[label]
 
-    def _fitting(self, word: str, at: int) -> list[tuple[int, int]]:
-        """(end, token) of the arcs that spell the word from ``at`` on, shortest first."""
-        steps, inner, node, last, found = self.steps, self.inner, 0, len(word) - 1, []
-        for k in range(at, last + 1):
-            node = steps[node].get(word[k], 0)
-            if not node:
-                break
-            token = inner[node] if k < last else self.final[node]
-            if token >= 0:
-                found.append((k + 1, token))
-        return found
+    def _empty_table(self) -> None:
+        self.start = State(self, ((-1, 0),), -1)
+        self.states: dict[tuple[tuple[int, int], ...], State] = {}
+
+    def next_state(self, state: State, symbol: str) -> State:
+        """The state behind one more symbol inside a word."""
+        steps, inner, arcs, begun, last = self.steps, self.inner, self.arcs, [], -1
+        for before, node in state.begun:
+            node = steps[node].get(symbol, 0)
+            if node:
+                token = inner[node]
+                if last < 0 <= token and (before < 0 or arcs[before << 20 | token]):
+                    last = token
+                if steps[node]:
+                    begun.append((before, node))
+        if last < 0:
+            raise ValueError(f"symbol {symbol!r} is not in the vocabulary")
+        begun.append((last, 0))
+        key = tuple(begun)
+        if key not in self.states:
+            if len(self.states) > STATES:
+                self._empty_table()
+            self.states[key] = State(self, key, last)
+        return self.states[key]
+
+    def _end(self, state: State, symbol: str) -> int:
+        """The arc that ends a word whose last symbol is ``symbol``."""
+        for before, node in state.begun:
+            node = self.steps[node].get(symbol, 0)
+            token = self.final[node] if node else -1
+            if token >= 0 and (before < 0 or self.arcs[before << 20 | token]):
+                state.ends[symbol] = token
+                return token
+        raise ValueError(f"symbol {symbol!r} is not in the vocabulary")
 
     def encode_word(self, word: str) -> list[int]:
-        """Ids of one pre-split word given as byte symbols: the only path of arcs that spells it, longest arcs tried first."""
-        n, arcs = len(word), self.arcs
-        path, starts, dead = [], [0], set()
-        open_arcs = [self._fitting(word, 0)]
-        while starts[-1] < n:
-            fits, key = open_arcs[-1], path[-1] << 20 if path else -1
-            while fits:
-                to, token = fits.pop()
-                if to not in dead and (key < 0 or arcs[key + token]):
-                    path.append(token)
-                    starts.append(to)
-                    open_arcs.append(self._fitting(word, to) if to < n else [])
-                    break
-            else:
-                dead.add(starts.pop())
-                path.pop()
-                open_arcs.pop()
-        return path
+        """Ids of one pre-split word given as byte symbols: one transition for each symbol, then the arcs read off from the end."""
+        state, lasts, final = self.start, [], word[-1]
+        for symbol in word[:-1]:
+            state = state[symbol]
+            lasts.append(state.last)
+        token = state.ends.get(final)
+        if token is None:
+            token = self._end(state, final)
+        ids, at, widths = [token], len(lasts) - self.widths[token], self.widths
+        while at >= 0:
+            ids.append(token := lasts[at])
+            at -= widths[token]
+        ids.reverse()
+        return ids
 
     def encode_piece(self, piece: str) -> bytes:
-        """Ids of text without white space inside.  ASCII is lowered and split here, other scripts by the file's own
-        normalizer and splitter, whose Unicode version counts."""
-        if piece.isascii():
-            words = ["".join(map(self.symbols.__getitem__, w.encode())) for w in self.words.findall(piece.lower())]
+        """Ids of text without white space inside.  ASCII and Latin-1 letters are lowered and split here, other characters by the
+        file's own normalizer and splitter, whose Unicode version counts."""
+        if LETTERS.fullmatch(piece):
+            return self.known[self._spelled(piece.lower())]
+        if PLAIN.fullmatch(piece):
+            words = map(self._spelled, self.words.findall(piece.lower()))
         else:
             words = [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(piece))]
-        return b"".join(map(self._word, words))
+        return b"".join(map(self.known.__getitem__, words))
+
+    def _spelled(self, word: str) -> str:
+        """A word as byte symbols; ASCII without white space is its own."""
+        return word if word.isascii() else "".join(map(self.symbols.__getitem__, word.encode()))
 
     def _word(self, word: str) -> bytes:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > MEMORY:
-                self.known.clear()
-            found = self.known[word] = np.array(self.encode_word(word), "<u4").tobytes()
-        return found
+        return array("I", self.encode_word(word)).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; null and empty texts give no ids.

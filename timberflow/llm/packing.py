@@ -14,11 +14,7 @@ length are interchangeable, so a piece needs its rank among its length only, whi
 
 from __future__ import annotations
 
-import functools
-import os
-import string
 import zlib
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,9 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from tokenizers import Tokenizer
 
-from timberflow.llm.bpe_automaton import CONTROLS, SPACES
+from timberflow.llm.bpe_automaton import automaton
 from timberflow.llm.common import materialize
 
 CAPACITY = 4096
@@ -38,64 +33,9 @@ GROUPINGS = ((12, 4), (24, 4), (96, 4))
 #: Pieces that one window of one length is meant to hold, and the least number of salts.
 WINDOW_ROWS, LEAST_SALTS = 20_000, 16
 
-#: Distinct pieces between white space that one worker memorises before it starts anew.
-MEMORY = 600_000
-
 Run = tuple[int, int, int, int, int]  # length, first rank, count, first sequence, offset
 
 
-class Tokens:
-    """Ids by the tokenizers library, asked once for each distinct word core.
-
-    Neither the file's normalizer nor its splitter reaches across white space, nor from an ASCII letter or digit into ASCII marks
-    that end a piece, and case is dropped: a text's ids are those of its pieces in a row, and a piece's those of its core and its marks.
-    Texts that hold the opening of a special token go to the library as a whole.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share out the cores
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    def _ask(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
-        for k in range(0, len(texts), 4096):
-            found = self.tokenizer.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False)
-            yield from ((t, array("I", e.ids).tobytes()) for t, e in zip(texts[k : k + 4096], found, strict=True))
-
-    def _learn(self, new: set[str]) -> None:
-        if len(self.cores) > MEMORY:
-            self.cores = {}
-        again = new & self.older.keys()
-        self.known.update((p, self.older[p]) for p in again)
-        parts = []
-        for piece in new - again:
-            core = piece.rstrip(string.punctuation)
-            if core and not (core[-1].isascii() and core[-1].isalnum()):
-                core = piece  # the marks go on, or may join what the normalizer makes of the last character
-            parts.append((piece, core.lower() if core.isascii() else core, piece[len(core) :]))
-        asked = {x for _, core, marks in parts for x in (core, marks)} - self.cores.keys()
-        self.cores.update(self._ask(list(asked)))
-        self.known.update((piece, self.cores[core] + self.cores[marks]) for piece, core, marks in parts)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        whole = [t or "" for t in texts]
-        cut = [[] if "<|" in t else SPACES.split(t) if CONTROLS.search(t) else t.split() for t in whole]
-        if len(self.known) > MEMORY:
-            self.known, self.older = {}, self.known
-        self._learn(set().union(*cut) - self.known.keys())
-        special = dict(self._ask([t for t in whole if "<|" in t]))
-        return [special[t] if "<|" in t else b"".join(map(self.known.__getitem__, c)) for t, c in zip(whole, cut, strict=True)]
-
-
-@functools.lru_cache(maxsize=2)
-def tokens(path: str) -> Tokens:
-    return Tokens(path)
-
-
 def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end: int = 1, keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each piece, and its ids' bytes where ``keep_ids`` is set.
 
@@ -109,8 +49,8 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end: int =
         step, last = 4 * capacity, np.array([end], "<u4").tobytes()
         for texts in batches:
             rows = []
-            for ids in tokens(path).encode(list(texts)):
-                ids += last
+            for text in texts:
+                ids = automaton(path).encode(text) + last
                 parts = [ids[k : k + step] for k in range(0, len(ids), step)]
                 rows.append(
                     [
