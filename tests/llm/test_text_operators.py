@@ -287,3 +287,27 @@ def test_surrogates_keep_distinctness(spark):
     names = [f"Mr. {a}{b} Stone" for a in "BCDFGHKLM" for b in ("ill", "ob", "an", "im", "on")]
     new = [r.text for r in surrogates.replace(spark.createDataFrame(list(enumerate(names)), "doc_id long, text string"), "key").collect()]
     assert len(set(new)) == len(names)
+
+
+def test_surrogates_of_long_entities_and_names(spark):
+    rng = random.Random(4)
+    long_hex = "".join(rng.choice("0123456789abcdef") for _ in range(132))
+    long_key = "".join(rng.choice("abcdefXYZ0123456789+/") for _ in range(200_000))
+    texts = [
+        f"sum {long_hex} end",
+        f"api_key={long_key}",
+        "Mr. Juan Carlos García Márquez Gabriel came.",
+        "Ring +49 151 23456789 or +4915123456789.",
+        "ring ÜBERßEN.İNCE@exämple.org now",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = [r.text for r in surrogates.replace(docs, "key").orderBy("doc_id").collect()]
+    number = new[0].split()[1]
+    assert len(number) == 132 and number != long_hex and set(number) <= set("0123456789abcdef")
+    secret = new[1].removeprefix("api_key=")
+    assert len(secret) == len(long_key) and sum(a == b for a, b in zip(secret, long_key)) < 0.3 * len(long_key)
+    assert all(a.isdigit() == b.isdigit() and a.isupper() == b.isupper() for a, b in zip(secret, long_key))
+    assert not {"Juan", "Carlos", "García", "Márquez", "Gabriel"} & set(new[2].split()) and len(new[2].split()) == 7
+    first, second = new[3].removeprefix("Ring ").rstrip(".").split(" or ")
+    assert first.startswith("+49 ") and first.replace(" ", "") == second and "23456789" not in second
+    assert len(new[4]) == len(texts[4]) and new[4] != texts[4] and new[4].endswith(".org now")

@@ -5,14 +5,16 @@ Entities are found by one regular expression and replaced where they stand:
 * character kinds (mail addresses, phone, card and account numbers, addresses of hosts, secrets) go through a keyed Feistel
   permutation of their letters and digits that keeps length, separators, case, script and each character's class, a card's
   check digit, a phone's country code and a mail address's last domain label.  A permutation cannot collide, so equal entities
-  stay equal and different ones different over any corpus, without a table of them.
+  stay equal and different ones different over any corpus, without a table of them.  An entity may be of any length.
 * names behind a title are replaced token by token from lists of the same gender and script.  A list is finite, so the
   distinct tokens of the corpus are checked for collisions: those that draw the same entry are numbered, and all but the first get a
-  suffix.  A family name keeps its surrogate with and without a given name before it.
+  suffix.  A family name keeps its surrogate with and without a given name before it.  A name has up to 16 words.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +34,16 @@ POOLS = {
 }
 SYLLABLES = {"latin": "Ba De Fi Go Ku La Me Ni Po Ru Sa Te".split(), "cyrillic": "Ба Де Фи Го Ку Ла Ме Ни По Ру Са Те".split()}
 DIGITS, HEX, LOWER = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
-LATIN, CYRILLIC, GREEK = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýßœ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"
+LATIN, CYRILLIC, GREEK = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýœ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"
+# Country codes of one and two digits; all others have three.
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 ROUNDS = 6
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
 HOST = rf"(?<![\p{{L}}\p{{N}}.]){OCTET}(?:\.{OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.\d)"
 SECRET = (
-    r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pous]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,})(?![\p{L}\p{N}])"
+    r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|gh[pous]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,})(?![\p{L}\p{N}])"
     r"|(?<![A-Za-z0-9_/+.-])(?=[A-Za-z0-9_/+.-]{12})(?<=(?i:token|secret|password|passwd|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_/+.-]{12,}"
 )
 ACCOUNT = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
@@ -50,7 +54,7 @@ PHONE = (
     r"|(?<![\p{L}\p{N}.-])\d{3}[-.]\d{2,3}[-.]\d{4}(?![\p{L}\p{N}])"
 )
 WORD = r"\p{Lu}[\p{L}'’]+"
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE_TITLES}|{FEMALE_TITLES})\.?\s{{1,2}}{WORD}(?:[ -]{WORD}){{0,2}}"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{MALE_TITLES}|{FEMALE_TITLES})\.?\s{{1,2}}{WORD}(?:[ -]{WORD}){{0,15}}"
 TITLE_STARTS = ("Mr", "Ms", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Mlle", "Señor", "г-н", "г-жа", "господин", "госпожа")
 PATTERN = "|".join((MAIL, HOST, SECRET, ACCOUNT, CARD, PHONE, NAME))
 
@@ -59,6 +63,16 @@ def _at(text: Column, index: Column | int) -> Column:
     return F.substring(text, index, 1)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often and wherever the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _letters(text: Column) -> Column:
+    """The characters of a text; none of the empty one."""
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
 def _draw(key: str, *parts: Column) -> Column:
     return F.xxhash64(F.lit(key), *parts)
 
@@ -80,35 +94,42 @@ def _shifted(char: Column, by: Column, hexadecimal: Column) -> Column:
 
 
 def permuted(text: Column, key: str, hexadecimal: Column | None = None) -> Column:
-    """Keyed permutation of texts of one class pattern: each half is shifted by draws from the other, in turns."""
+    """Keyed permutation of texts of one class pattern: each half is shifted by draws from the other, in turns.
+
+    A half is hashed once in a turn, and each of its letters draws from that hash and its place, so the work is linear in the length.
+    """
     hexadecimal = F.lit(False) if hexadecimal is None else hexadecimal
-    half = F.floor(F.length(text) / 2).cast("int")
 
     def turn(halves: Column, k: Column) -> Column:
-        kept, moved = halves["kept"], halves["moved"]
-        places = F.when(F.length(moved) > 0, F.sequence(F.lit(1), F.length(moved))).otherwise(F.array().cast("array<int>"))
-        letters = F.transform(places, lambda i: _shifted(_at(moved, i), _draw(key, k, kept, i), hexadecimal))
-        return F.struct(F.array_join(letters, "").alias("kept"), kept.alias("moved"))
+        def shifted(drawn: Column) -> Column:
+            return F.transform(halves["moved"], lambda c, i: _shifted(c, F.xxhash64(drawn, i), hexadecimal))
 
-    start = F.struct(F.substring(text, F.lit(1), half).alias("kept"), F.substring(text, half + 1, F.length(text)).alias("moved"))
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn)
-    return F.concat(end["kept"], end["moved"])
+        return F.struct(_let(_draw(key, k, halves["kept"]), shifted).alias("kept"), halves["kept"].alias("moved"))
+
+    def through(letters: Column) -> Column:
+        half = F.floor(F.size(letters) / 2).cast("int")
+        start = F.struct(F.slice(letters, 1, half).alias("kept"), F.slice(letters, half + 1, F.size(letters)).alias("moved"))
+        end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn)
+        return _let(end, lambda e: F.array_join(F.concat(e["kept"], e["moved"]), ""))
+
+    return _let(_letters(text), through)
 
 
 def _refilled(shape: Column, letters: Column) -> Column:
     """``shape`` with its letters and digits replaced in order by ``letters``, upper case where they were."""
 
-    def place(i: Column) -> Column:
-        char = _at(shape, i)
-        index = F.length(F.regexp_replace(F.substring(shape, F.lit(1), i), r"[^\p{L}\p{N}]", ""))
-        new = _at(letters, index)
-        return F.when(char.rlike(r"^\p{Lu}"), F.upper(new)).when(char.rlike(r"^[\p{L}\p{N}]"), new).otherwise(char)
+    def filled(old: Column) -> Column:
+        own = F.filter(old, lambda x: x["letter"])
+        new = F.zip_with(own, _letters(letters), lambda x, c: F.struct(x["i"].alias("i"), F.when(x["c"].rlike(r"^\p{Lu}"), F.upper(c)).otherwise(c).alias("c")))
+        rest = F.transform(F.filter(old, lambda x: ~x["letter"]), lambda x: F.struct(x["i"].alias("i"), x["c"].alias("c")))
+        return F.array_join(F.transform(F.array_sort(F.concat(new, rest)), lambda x: x["c"]), "")
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(shape)), place), "")
+    placed = F.transform(_letters(shape), lambda c, i: F.struct(i.alias("i"), c.alias("c"), c.rlike(r"^[\p{L}\p{N}]").alias("letter")))
+    return _let(placed, filled)
 
 
 def _bare(text: Column) -> Column:
-    return F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
 
 
 def _characters(text: Column, key: str) -> Column:
@@ -158,7 +179,7 @@ def _card(entity: Column, key: str) -> Column:
 
 
 def _phone(entity: Column, key: str) -> Column:
-    code = F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .(-])", 0)
+    code = F.regexp_extract(entity, COUNTRY, 0)
     return F.concat(code, _characters(F.substring(entity, F.length(code) + 1, F.length(entity)), key))
 
 
