@@ -183,3 +183,8 @@ def test_conversations_keep_every_message(spark):
     table = spark.read.parquet(f"{SMALL}/conversations.parquet")
     rows = QUERIES["op9_quotation_linking"](spark, SMALL).collect()
     assert sorted((r.conv_id, r.turn, r.role, r.body) for r in rows) == sorted((r.conv_id, r.turn, r.role, quotation.own_text(r.text)) for r in table.collect())
+
+
+def test_self_closing_drawings_and_formulas_keep_the_page():
+    page = '<article><p>a</p><svg/><p>b <svg class="x" /> c</p><svg><text>drawn</text></svg><p>d <math><mi>x</mi></math></p><math/><p>e</p></article>'
+    assert site_style_tree.extract(page) == "a\nb c\nd x\ne"

@@ -26,18 +26,19 @@ from timberflow.llm.common import materialize
 # Element kinds and the words of class, id and role names.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style template noscript textarea title iframe noframes noembed xmp svg math object".split()
+RAW = "script style template noscript textarea title iframe noframes noembed xmp svg object".split()
 DROPPED = set("nav aside footer form menu dialog select button head audio video canvas map applet label".split())
 NOISE_WORDS = set("nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent notice notices alert newsletter subscribe subscription share sharing social related recommended recommendations comment comments disqus respond replies popup modal overlay pagination pager toolbar widget masthead login signup search".split())
 NOISE_ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form note".split())
 CONTAINERS = {"article", "main"}
+SELF_CLOSING = {"svg", "math"}
 ENDS_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "li", "dd", "dt", "option", "optgroup", "summary"}
 SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIERS = {"ul", "ol", "dl", "table", "select", "menu"}
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"|<(?!svg\b[^>]*/>)(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attributes>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>"
     r"|<[!?][^>]*+>",
     re.S | re.I,
@@ -107,7 +108,7 @@ def parse(page: str) -> Node:
         inside = parent.content or tag in CONTAINERS
         node = Node(tag, label, f"{parent.path}/{label}" if len(parent.path) < 2000 else parent.path, _noisy(tag, attributes, inside), inside)
         parent.children.append(node)
-        if tag not in VOID:
+        if tag not in VOID and not (tag in SELF_CLOSING and token["attributes"].endswith("/")):
             stack.append(node)
     if at < len(page):
         stack[-1].children.append(page[at:])
