@@ -264,3 +264,21 @@ def test_lifecycle(spark):
     assert same["refused"] is None and same["updated_at"] == (T0 + timedelta(hours=2)).replace(tzinfo=None)
     assert step(done, "open", 3).first()["resolved_at"] is None
     assert auto_resolve(rows, [], NOW).first()["status"] == "open"
+
+
+@pytest.mark.parametrize("group_by", [["source"], []])
+def test_wide_overlapping_windows_shuffle_rows_only(spark, group_by):
+    rng = random.Random(11)
+    rows = random_events(rng, 900, 120)
+    wide = Rule("wide", all=[Predicate("level", "gte", "ERROR")], group_by=group_by, threshold=2, window="60s", cooldown="0s")
+    slim = Rule("slim", all=[Predicate("level", "eq", "INFO")], group_by=group_by, threshold=2, window="2s", cooldown="9s")
+    found = detected_incidents(detect(events_of(spark, rows), [wide, slim]), NOW)
+    got = found.select("rule_id", "group", "event_ids", "count").collect()
+    for rule, levels in ((wide, ("ERROR", "FATAL")), (slim, ("INFO",))):
+        expected, _ = walk(rows, rule, levels)
+        assert sorted((r["group"], tuple(r["event_ids"])) for r in got if r["rule_id"] == rule.id) == expected
+    assert all(r["count"] == len(r["event_ids"]) for r in got)
+    assert max(r["count"] for r in got) > 64
+    # What windows hold is not gathered again after rows have met them: every aggregate lies below the join.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
