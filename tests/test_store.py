@@ -227,6 +227,21 @@ def test_csv_export_quotes_only_where_needed(spark, tmp_path):
     assert line == '2025-03-01T10:00:00Z,INFO,api,message,a,fa,"a=1,2;b=x""y"'
 
 
+def test_a_table_is_computed_once_when_saved(spark, tmp_path):
+    """The row checks do not compute the lineage again."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def say(text):
+        calls.add(1)
+        return text
+
+    at = datetime(2025, 3, 1, tzinfo=timezone.utc)
+    rows = [(f"e{k}", at + timedelta(seconds=k), 0, "INFO", "s", "m", {}, f"f{k}", "in", k, at) for k in range(50)]
+    events = spark.createDataFrame(rows, schemas.ddl(schemas.EVENTS)).withColumn("message", F.udf(say, "string")("message"))
+    sinks.save_events(events, str(tmp_path / "events"))
+    assert calls.value == 50 and spark.read.parquet(str(tmp_path / "events")).count() == 50
+
+
 def test_files_are_listed_by_one_job(spark, tmp_path):
     """Looking for large files takes no job for each split of the listing."""
     for k in range(24):
