@@ -80,3 +80,21 @@ def test_state_goes_when_windows_pass(spark, tmp_path):
 
     full = wave([(f"a{k}", k % 20, f"s{k % 10}") for k in range(200)])
     assert wave([("b", 5000, "s0"), ("c", 9000, "s0")]) < full / 4
+
+
+def test_state_has_no_more_partitions_than_the_cluster_has_cores(spark, tmp_path):
+    rule = Rule("r", all=[Predicate("level", "gte", "ERROR")], group_by=["source"], threshold=1, window="30s")
+    source, name = str(tmp_path / "in"), "spark.sql.shuffle.partitions"
+    store_rows(spark, source, [("e1", 0, "a"), ("e2", 5, "b"), ("e3", 900, "c")])
+    before, cores = spark.conf.get(name), spark.sparkContext.defaultParallelism
+    spark.conf.set(name, str(cores + 3))
+    try:
+        for store, asked, wanted in (("all", None, cores), ("two", 2, 2)):
+            detector = StreamingDetector([rule], str(tmp_path / store))
+            start_detection(event_stream(spark, source), detector, asked).awaitTermination()
+            kept = [item.name for item in (tmp_path / store / "_progress/state/0").iterdir() if item.name.isdigit()]
+            assert len(kept) == wanted
+            assert sorted(row["event_ids"] for row in detector.detections(spark).collect()) == [["e1"], ["e2"], ["e3"]]
+            assert spark.conf.get(name) == str(cores + 3)
+    finally:
+        spark.conf.set(name, before)
