@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from timberflow import schemas
-from timberflow.operators.detection import covered_events, detect, detected_incidents, evaluations, fired_ranges
+from timberflow.operators.detection import covered_events, detect, detected_incidents, evaluations, fired_ranges, first_fired
 from timberflow.operators.incidents import auto_resolve, merged_links, news_of_rows, news_of_run, reconcile, transition
 from timberflow.operators.positions import merge_ranges, rank_and_before, with_position
+from timberflow.operators.predicates import match_rules
 from timberflow.settings import Predicate, Rule
 
 T0 = datetime(2025, 3, 1, 10, tzinfo=timezone.utc)
@@ -207,6 +208,28 @@ def test_every_covered_event_is_met_once(spark):
     assert fired_ranges(run).agg(F.sum("merged")).first()[0] == len(want)
 
 
+def test_first_windows_bring_their_own_rows_only(spark):
+    rng = random.Random(22)
+    rows = random_events(rng, 500, 600, sources=2)
+    rule = Rule("r", all=[Predicate("level", "gte", "ERROR")], group_by=["source"], threshold=3, window="40s", cooldown="0s")
+    run = detect(events_of(spark, rows), [rule])
+    first = first_fired(run)
+    got = first.counted.groupBy("grp").agg(F.sort_array(F.collect_list("id")).alias("ids")).collect()
+    earliest = {row["grp"]: row["at"] for row in run.fired.groupBy("grp").agg(F.min("rn").alias("at")).collect()}
+    want = {row["group"]: row["event_ids"] for row in detected_incidents(run, NOW).collect() if row["fired_rn"] == earliest[row["group"]]}
+    assert {row["grp"]: row["ids"] for row in got} == want and len(want) == 2
+    assert first.counted.count() < run.counted.count()
+
+
+def test_events_without_a_rule_are_not_shaped(spark):
+    """What an event is given before the rules see it is computed for the events that a rule wants."""
+    rule = Rule("r", all=[Predicate("level", "gte", "ERROR")])
+    refuse = F.when(F.col("level") == "INFO", F.raise_error(F.lit("shaped")).cast("string")).otherwise("fine")
+    rows = [("a", 0, "INFO", "s"), ("b", 1, "ERROR", "s"), ("c", 2, "INFO", "s")]
+    shaped = events_of(spark, rows).withColumn("fingerprint", refuse)
+    assert [(row["id"], row["fingerprint"]) for row in match_rules(shaped, [rule]).collect()] == [("b", "fine")]
+
+
 @pytest.mark.parametrize("idempotent", [False, True])
 def test_news_of_a_run_equal_its_rows(spark, idempotent):
     """Two runs over the same store: merged ranges give the incidents that listing every window gives."""
