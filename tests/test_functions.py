@@ -23,7 +23,7 @@ from timberflow.functions import (
     with_timestamp,
 )
 from timberflow.functions.levels import parse_stored_level
-from timberflow.functions.times import translate_layout
+from timberflow.functions.times import parse_layout, translate_layout
 from timberflow.operators.predicates import java_pattern
 from timberflow.settings import DEFAULT_LAYOUTS, LogSource, Predicate, Rule, duration_nanos, select_sources
 
@@ -32,6 +32,14 @@ def values(df, column):
     return [row[0] for row in df.select(column).collect()]
 
 
+def test_a_layout_is_matched_once(spark):
+    df = spark.createDataFrame([("2024-01-01T00:00:07.5Z",), ("x",), (None,)], "s string")
+    parsed = df.select(parse_layout(F.col("s"), translate_layout(DEFAULT_LAYOUTS[0])).alias("p"))
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == plan.count("regexp_extract(") == 1
+    assert [row["p"] and tuple(row["p"]) for row in parsed.collect()] == [(1_704_067_207_500_000, 0), None, None]
+
+
 def test_normalization(spark):
     df = spark.createDataFrame(
         [("\tPump/Station 9 ", "\n valve 8 stuck\t\r\n  pressure 3 bar "), ("--a__b..C!!d--", "　x\t\r\ry  ")],
