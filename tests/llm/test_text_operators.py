@@ -192,6 +192,27 @@ def test_table_of_states_may_start_anew(monkeypatch):
     assert len(tight.states) <= 4 and len(tight.pieces) <= 5 and len(tight.arcs) <= 6
 
 
+def test_new_words_are_read_side_by_side(monkeypatch):
+    """A chunk's short words take their transitions together, and no text gets ids of another, wherever chunks end."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnoprstuvwxyzABÀéß中İ"
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) + rng.choice(["", "", ".", "'s", "1)"]) for _ in range(40)) for _ in range(300)]
+    texts[5:5] = [None, "", " \n", "a<|endoftext|> b <|ENDOFTEXT|>", "x\x1cy z", "z" * 65 + " " + "z" * 64, "\u2003Ab\x85cd ", "<|startoftext|>"]
+    library = Tokenizer.from_file(PATH)
+    library.no_truncation()
+    library.no_padding()
+    want = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    alone = bpe_automaton.TokenizationAutomaton.encode_word
+    single = []
+    monkeypatch.setattr(bpe_automaton.TokenizationAutomaton, "encode_word", lambda self, word: single.append(word) or alone(self, word))
+    for size in (bpe_automaton.CHUNK, 700, 1):
+        monkeypatch.setattr(bpe_automaton, "CHUNK", size)
+        compiled = bpe_automaton.TokenizationAutomaton(PATH)
+        assert [np.frombuffer(b, "<u4").tolist() for b in compiled.encode_all(texts)] == want
+        assert list(compiled.encode_all([])) == []
+    assert {len(word) for word in single} == {65}
+
+
 def test_tokens_query_covers_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{TINY}/documents.parquet").collect()}
     library = Tokenizer.from_file(PATH)

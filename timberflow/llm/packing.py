@@ -49,8 +49,8 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end: int =
         step, last = 4 * capacity, np.array([end], "<u4").tobytes()
         for texts in batches:
             rows = []
-            for text in texts:
-                ids = automaton(path).encode(text) + last
+            for found in automaton(path).encode_all(texts):
+                ids = found + last
                 parts = [ids[k : k + step] for k in range(0, len(ids), step)]
                 rows.append(
                     [
