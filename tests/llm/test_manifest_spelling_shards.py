@@ -201,6 +201,21 @@ def test_differencing_balances():
             assert sums.max() - sums.min() < 0.001 * sums.mean() or sums.max() == max(sizes)
 
 
+def test_exchange_narrows_the_spread():
+    rng = random.Random(9)
+    for count, shards, large in ((64, 5, 30_000), (64, 5, 90_000_000), (200, 7, 1), (3, 5, 8)):
+        sizes = sorted([rng.randint(7000, 9000) for _ in range(count)] + [large], reverse=True)
+        before = differencing.difference(sizes, shards)
+        after = differencing.exchange(sizes, before, shards)
+        spread = lambda of: np.ptp(np.bincount(of, sizes, shards))
+        assert len(after) == len(sizes) and set(after) <= set(range(shards)) and spread(after) <= spread(before)
+        if large < 50_000 and count > 3:
+            assert spread(after) < 0.01 * sum(sizes) / shards
+    assert differencing.exchange([], [], 4) == [] and differencing.exchange([9, 1], [0, 0], 1) == [0, 0]
+    assert sorted(differencing.exchange([5, 4, 1], [0, 0, 0], 2)) == [0, 0, 1]
+    assert differencing.exchange([50, 50], [0, 1], 2) == [0, 1]
+
+
 def check_shards(got, rows, shards):
     assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
     sizes = Counter()

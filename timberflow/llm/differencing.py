@@ -8,7 +8,8 @@ It works on items, whose number does not grow with the data: a group of more tha
 is an item by itself (there are fewer than ``shards * GRAIN`` of them), and all other groups are gathered into ``BUNDLES``
 items by their key.  With 40 shards that is at most 53,248 items of two numbers each, which the driver combines; the
 assignment of the items, of the same bound, is broadcast.  An item is small against a shard and differencing leaves a spread
-far below an item, so the balance is as good as if single groups were placed, unless a group alone exceeds a shard.
+far below an item, so the balance is as good as if single groups were placed, unless a group alone exceeds a shard.  Where items
+are few it can leave more than ``SPREAD`` of a shard; then items are moved or swapped from larger shards to the smallest.
 
 Law: ``bytes`` (sizes near equal).  Odd rows: a null text has no bytes and belongs to the group of the empty text; a size is the text's
 UTF-8 bytes plus 16, so every row counts.  Rows without id, and repeated rows, are rows as any other.  A group with a third of
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ from timberflow.session import materialize
 
 #: A group of more than one part in shards * GRAIN of all bytes is placed by itself; the others are gathered into BUNDLES.
 GRAIN, BUNDLES = 512, 1 << 15
+#: Part of a mean shard that the largest and the smallest shard may differ by before items are exchanged.
+SPREAD = 0.001
 #: Bytes that a row counts beside its text.
 OVERHEAD = 16
 
@@ -78,6 +82,44 @@ def difference(sizes: list[int], shards: int) -> list[int]:
     return shard_of
 
 
+def exchange(sizes: list[int], shard_of: list[int], shards: int) -> list[int]:
+    """The shards of the items after moves and swaps to the smallest shard, from the largest one that has an exchange to offer.
+
+    Each exchange brings the two shards nearer to each other, so the sum of the squares of all shards falls until none is left.
+    """
+    weights, places = np.array(sizes, np.int64), np.array(shard_of, np.int64)
+    sums = np.zeros(shards, np.int64)
+    np.add.at(sums, places, weights)
+
+    def one() -> bool:
+        low = int(sums.argmin())
+        theirs = np.flatnonzero(places == low)
+        theirs = theirs[np.argsort(weights[theirs], kind="stable")]
+        offers = np.concatenate([[0], weights[theirs]])  # nothing, which makes a move, or an item
+        for high in np.argsort(-sums, kind="stable"):
+            gap = sums[high] - sums[low]
+            if gap * shards <= SPREAD * sums.sum():
+                return False
+            mine = np.flatnonzero(places == high)
+            above = np.searchsorted(offers, weights[mine] - gap // 2)
+            pairs = np.concatenate([np.minimum(above, len(offers) - 1), np.maximum(above - 1, 0)])
+            change = np.concatenate([weights[mine], weights[mine]]) - offers[pairs]
+            left = np.where((change > 0) & (change < gap), np.abs(2 * change - gap), gap)
+            best = int(left.argmin())
+            if left[best] < gap:
+                places[mine[best % len(mine)]] = low
+                if pairs[best]:
+                    places[theirs[pairs[best] - 1]] = high
+                sums[high] -= change[best]
+                sums[low] += change[best]
+                return True
+        return False
+
+    while one():
+        pass
+    return places.tolist()
+
+
 def items_of(groups: DataFrame, total: int, shards: int) -> DataFrame:
     """(``alone``, ``item``, ``size``): the large groups by their key, the others by the bundle of their key."""
     alone = F.col("size") * shards * GRAIN > total
@@ -101,7 +143,8 @@ def assign(documents: DataFrame, shards: int) -> DataFrame:
     groups = materialize(rows.groupBy("key").agg(F.sum("size").alias("size")))
     total = groups.agg(F.sum("size")).first()[0] or 0
     items = items_of(groups, total, shards).orderBy(F.desc("size"), "alone", "item").toPandas()
-    items["shard"] = difference([int(s) for s in items["size"]], shards)
+    sizes = [int(s) for s in items["size"]]
+    items["shard"] = exchange(sizes, difference(sizes, shards), shards)
     kind = "item long, shard int"
     table = lambda alone: F.broadcast(spark.createDataFrame([(int(i), int(s)) for i, s in items.loc[items["alone"] == alone, ["item", "shard"]].itertuples(index=False)], kind))
     named = rows.join(table(True).select(F.col("item").alias("key"), F.col("shard").alias("own")), "key", "left")
