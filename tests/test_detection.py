@@ -1,5 +1,7 @@
 """Detection and incident lifecycle against plain Python walks."""
 
+import hashlib
+import os
 import random
 from datetime import datetime, timedelta, timezone
 
@@ -7,10 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from timberflow import schemas
+from timberflow.operators import detection
 from timberflow.operators.detection import covered_events, detect, detected_incidents, evaluations, fired_ranges, first_fired
 from timberflow.operators.incidents import auto_resolve, merged_links, news_of_rows, news_of_run, reconcile, transition
 from timberflow.operators.positions import merge_ranges, rank_and_before, with_position
 from timberflow.operators.predicates import match_rules
+from timberflow.session import shared_folder
 from timberflow.settings import Predicate, Rule
 
 T0 = datetime(2025, 3, 1, 10, tzinfo=timezone.utc)
@@ -305,3 +309,34 @@ def test_wide_overlapping_windows_shuffle_rows_only(spark, group_by):
     # What windows hold is not gathered again after rows have met them: every aggregate lies below the join.
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Join")]
+
+
+@pytest.mark.parametrize("threshold,cooldown", [(7, "60s"), (2, "0s")])
+def test_equal_instants_on_small_pages(spark, monkeypatch, threshold, cooldown):
+    """Twenty instants with twenty rows each, windows over many pages, and thresholds reached in the midst of an instant."""
+    monkeypatch.setattr(detection, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(detection, "UNFOLD_ROWS", 3)
+    rng = random.Random(threshold)
+    rows = [(i, at * 30, level, source) for i, at, level, source in random_events(rng, 400, 19)]
+    rule = Rule("r", all=[Predicate("level", "gte", "ERROR")], group_by=["source"], threshold=threshold, window="60s", cooldown=cooldown)
+    run = detect(events_of(spark, rows), [rule], chain_rows=2)
+    want, suppressed = walk(rows, rule, ("ERROR", "FATAL"))
+    found = detected_incidents(run, NOW).collect()
+    assert sorted((row["group"], tuple(row["event_ids"])) for row in found) == want
+    (counts,) = evaluations(run).collect()
+    assert (counts["triggered"], counts["suppressed"]) == (len(want), suppressed)
+    ends = sorted((row["grp"], row["rn"], row["cnt"]) for row in run.fired.select("grp", "id", "rn", "cnt").collect())
+    assert ends == sorted((row["group"], row["fired_rn"], row["count"]) for row in found)
+
+
+def test_detection_keeps_each_row_once(spark):
+    """What a run leaves on the shared disk is little more than ids and fingerprints of the rows that a rule wants."""
+    digest = lambda i: hashlib.sha256(str(i).encode()).hexdigest()
+    data = [(digest(i)[:24], T0 + timedelta(minutes=i // 40), 0, "ERROR", f"s{i % 3}", "m", {}, digest(-i), "in", i) for i in range(12_000)]
+    rule = Rule("r", all=[Predicate("level", "gte", "ERROR")], group_by=["source"], threshold=3, window="5m", cooldown="20m")
+    folder = shared_folder(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(at, name)) for at, _, names in os.walk(folder) for name in names)
+    before = size()
+    run = detect(spark.createDataFrame(data, COLUMNS), [rule])
+    assert size() - before < len(data) * 150
+    assert run.counted.count() == len(data) and run.windows.count() == 3 * 15
